@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, packing, token_output
 
-QUERIES = {"op5_exact_dedup": exact_dedup.op5_exact_dedup}
+QUERIES = {
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op9_token_output": token_output.op9_token_output,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
+}
 SQL = {"op5_exact_dedup": exact_dedup.SQL}
