@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_output
+from . import exact_dedup, jaccard_join, packing, pii, secrets, token_output, toxicity
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
+    "op4_pii": pii.op4_pii,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_secrets": secrets.op6_secrets,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_output": token_output.op9_token_output,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-SQL = {"op5_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_jaccard_join": jaccard_join.SQL, "op5_exact_dedup": exact_dedup.SQL}
