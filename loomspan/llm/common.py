@@ -139,14 +139,15 @@ _LOWER_BYTE = _BYTE[_LOWER]
 _POW = powers(0x9E3779B97F4A7C15, 1 << 12)
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, of all texts: (hash, start, end, words before each text)."""
+def words(data: np.ndarray, off: np.ndarray, apart: np.ndarray = _IS_WS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` (or of bytes that aren't `apart`), A-Z lower-cased, of all texts: (hash, start, end, words
+    before each text)."""
     global _POW
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, U64), z, z, np.zeros(len(off), np.int64)
-    black = ~_IS_WS[data]
+    black = ~apart[data]
     first = black.copy()
     first[1:] &= ~black[:-1]
     bounds = off[:-1][off[:-1] < n]

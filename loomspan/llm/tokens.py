@@ -14,7 +14,7 @@ import unicodedata
 
 import numpy as np
 
-CACHE_ENTRIES, CHUNK_CHARS = 400_000, 48
+CACHE_ENTRIES, CHUNK_CHARS = 1_000_000, 48
 _UNSURE = re.compile("[^\x00-\x1b\x20-˿Ͱ-΢Τ-ԯ‐-‧‰-⁞₠-₿ぁ-ゖァ-ヺ一-鿿가-힣]")
 _CONTROL = re.compile("[\x1c-\x1f]")
 _PIECES = re.compile(" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
@@ -56,7 +56,7 @@ class Encoder:
         """Adds unseen chunks; long ones are returned and not kept."""
         prefix = " " if self.shape == "bytes" else ""
         new = list(chunks)
-        got = [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch([prefix + c for c in new], add_special_tokens=False)]
+        got = [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([prefix + c for c in new], add_special_tokens=False)]
         if len(self.seen) + len(new) > CACHE_ENTRIES:
             self.seen.clear()
         once = {}
@@ -67,14 +67,18 @@ class Encoder:
                 once[c] = ids
         return once
 
+    def _know(self, need: set[str]) -> dict[str, bytes]:
+        """Sees to it that all chunks are in the cache or in what is returned. (Set minus dict keys would walk the cache.)"""
+        once = self._learn({c for c in need if c not in self.seen})
+        if more := {c for c in need if c not in self.seen and c not in once}:  # the cache was emptied just now
+            once |= self._learn(more)
+        return once
+
     def _join(self, chunks: list[str]) -> bytes:
         try:
             return b"".join(map(self.seen.__getitem__, chunks))
         except KeyError:
-            need = set(chunks)
-            once = self._learn(need - self.seen.keys())
-            if need - self.seen.keys() - once.keys():  # the cache was emptied just now
-                once |= self._learn(need - self.seen.keys() - once.keys())
+            once = self._know(set(chunks))
             return b"".join([self.seen[c] if c in self.seen else once[c] for c in chunks])
 
     def encode(self, text: str | None) -> bytes:
@@ -96,10 +100,7 @@ class Encoder:
             if not plain:
                 return self._join([p[1:] for p in pieces])
             known = {p: self.whole(p) for p in set(plain)}
-            rest = set(p[1:] for p in pieces if p not in known)
-            once = self._learn(rest - self.seen.keys())
-            if rest - self.seen.keys() - once.keys():
-                once |= self._learn(rest - self.seen.keys() - once.keys())
+            once = self._know({p[1:] for p in pieces if p not in known})
             return b"".join([known[p] if p in known else (self.seen.get(p[1:]) if p[1:] in self.seen else once[p[1:]]) for p in pieces])
         first, *rest = text.split(" ")
         return (self.whole(first) if first else b"") + (self._join(rest) if rest else b"")
