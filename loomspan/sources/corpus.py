@@ -169,16 +169,21 @@ def annotate(docs: DataFrame, key: Column, doc_id: Column, text: Column, max_tok
     lines = docs.select(key.alias("doc_key"), doc_id.cast("string").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("sent_id", "line"))
     s = lines.select("doc_key", "doc_id", "sent_id", F.filter(F.split("line", " "), lambda t: t != "").alias("raw"))
     s = s.withColumn("num_tokens", F.size("raw")).filter((F.col("num_tokens") > 0) & (F.col("num_tokens") <= max_tokens))
-    s = s.withColumn("word", F.col("raw")).withColumn("lemma", F.transform("raw", F.lower)).withColumn("tag", F.transform("raw", tag_of)).withColumn("entity", F.transform("raw", lambda t: F.lit("O")))
+    # a generator between them keeps the optimiser from copying these arrays into expressions that look at each position
+    s = s.select("doc_key", "doc_id", "sent_id", "num_tokens", F.explode(F.array(F.struct("raw", F.transform("raw", tag_of).alias("tag")))).alias("x")).select("doc_key", "doc_id", "sent_id", "num_tokens", "x.raw", "x.tag")
+    s = s.withColumn("word", F.col("raw")).withColumn("lemma", F.transform("raw", F.lower)).withColumn("entity", F.transform("raw", lambda t: F.lit("O")))
     s = s.withColumn("chunk", F.transform("tag", lambda t, i: F.when(t != "CAP", "O").when((i > 0) & (F.get(F.col("tag"), i - 1) == "CAP"), "I").otherwise("B")))
     s = s.withColumn("norm", _norms("raw"))
     if graph:
-        at = F.sequence(F.lit(0), F.col("num_tokens") - 1)
+        n, tag = F.col("num_tokens"), F.col("tag")
+        at = F.sequence(F.lit(0), n - 1)
         edge = lambda a, b, label: F.struct(a.cast("int").alias("src"), b.cast("int").alias("dst"), F.lit(label).alias("label"))
-        nxt = F.transform(F.filter(at, lambda i: i + 1 < F.col("num_tokens")), lambda i: edge(i, i + 1, "next"))
-        head = F.transform(F.filter(at, lambda i: i > 0), lambda i: edge(F.lit(0), i, "head"))
-        mod = F.transform(F.filter(at, lambda i: (F.get(F.col("tag"), i) != "CAP") & (F.coalesce(F.get(F.col("tag"), i + 1), F.lit("")) == "CAP")), lambda i: edge(i, i + 1, "mod"))
+        mods = lambda i: (F.get(tag, i) != "CAP") & (F.coalesce(F.get(tag, i + 1), F.lit("")) == "CAP")
+        nxt = F.transform(F.slice(at, 1, n - 1), lambda i: edge(i, i + 1, "next"))
+        head = F.transform(F.slice(at, 2, n), lambda i: edge(F.lit(0), i, "head"))
+        mod = F.transform(F.filter(at, mods), lambda i: edge(i, i + 1, "mod"))
         s = s.withColumn("edges", F.concat(nxt, head, mod))
-        labels = lambda side: F.transform(at, lambda i: F.array_sort(F.array_distinct(F.transform(F.filter(F.col("edges"), lambda e: e[side] == i), lambda e: e["label"]))))
-        s = s.withColumn("incoming", labels("dst")).withColumn("outgoing", labels("src"))
+        labels = lambda **tests: F.array_compact(F.array(*(F.when(t, k) for k, t in tests.items())))
+        s = s.withColumn("incoming", F.transform(at, lambda i: labels(head=i > 0, mod=(i > 0) & mods(i - 1), next=i > 0)))
+        s = s.withColumn("outgoing", F.transform(at, lambda i: labels(head=(i == 0) & (n > 1), mod=mods(i), next=i + 1 < n)))
     return s
