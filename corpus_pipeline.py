@@ -1,19 +1,56 @@
-"""The corpus pipeline: stages over the table documents, each written and read back by whoever runs them."""
+"""The corpus pipeline: stages over the table documents, each written and read back by whoever runs them.
+
+Every stage works on all that the stage before kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from loomspan.llm.common import materialise
+from loomspan.llm.decontaminate import contamination
 from loomspan.llm.exact_dedup import exact_dedup
+from loomspan.llm.jaccard_join import jaccard_components
+from loomspan.llm.packing import best_fit_packing
+from loomspan.llm.tokens import vocabulary
+from loomspan.llm.toxicity import fit, toxicity
+
+
+def _only(docs, kept):
+    """docs whose id is in kept; ids are narrow, and a documents row finds its id by a plain join."""
+    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents that the classifier rejects go. It learns from the labelled rows of documents that aren't held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _only(docs, toxicity(docs, fit(docs, labels)).filter("predicted = 0"))
+
+
+def drop_exact_copies(spark, docs, sf_dir):
+    """Of documents with equal texts, one stays."""
+    return _only(docs, exact_dedup(docs).filter("kept"))
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """Of each component of linked documents, the one with the smallest id stays."""
+    return _only(docs, jaccard_components(docs).filter(F.col("doc_id") == F.col("component_id")))
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    """Documents that hold a passage of the benchmark go."""
+    leaks = materialise(contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
 
 
-def exact(spark, docs, sf_dir):
-    """Keeps one document of each group of equal texts."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+def pack(spark, docs, sf_dir):
+    """Pieces of at most 1024 tokens in sequences of at most 1024."""
+    return best_fit_packing(docs, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES = [("exact_dedup", exact)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("jaccard_join", drop_near_copies), ("decontamination", drop_contaminated), ("packing", pack)]
 
+#: A trained classifier and tokenisers are beyond SQL; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
