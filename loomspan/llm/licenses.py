@@ -70,7 +70,8 @@ class Index:
 
 
 def find(texts: pa.Array, index: Index, least: float = LEAST) -> list[tuple[int, str, int, int, float]]:
-    """(row, license, start, end, containment); code points of the text, end exclusive; overlapping finds of one license are one."""
+    """(row, license, start, end, containment); code points of the text, end exclusive; overlapping finds of one license are one, and
+    of different licenses the better one counts."""
     sh, owner, first, start, end, data, off = shingles(texts)
     out: dict[tuple[int, str], list[list]] = {}
     if not len(sh):
@@ -130,6 +131,11 @@ def find(texts: pa.Array, index: Index, least: float = LEAST) -> list[tuple[int,
             else:
                 merged.append(x)
         result += [(d, name, *m) for m in merged]
+    # of licenses that are found in one place, those that fit it less are out
+    by: dict[int, list] = {}
+    for r in result:
+        by.setdefault(r[0], []).append(r)
+    result = [r for rs in by.values() for r in rs if not any(o[4] > r[4] and o[2] < r[3] and r[2] < o[3] for o in rs)]
     return sorted(result, key=lambda x: (x[0], x[2], x[1]))
 
 

@@ -229,15 +229,19 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 7, wa
                 s[k] = 0.99 * s[k] + 0.01 * v * v
                 net.p[k] -= (rate * (m[k] / (1 - 0.9**steps)) / (np.sqrt(s[k] / (1 - 0.99**steps)) + 1e-6)).astype(np.float32)
 
+    def again(rows: np.ndarray, least: int) -> np.ndarray:
+        """Few rows are learnt from more than once."""
+        return np.tile(rows, -(-least // max(1, len(rows)))) if len(rows) < least else rows
+
     short = np.flatnonzero((np.bincount(doc, minlength=len(lists))[doc] <= 8) & use_doc[doc])  # in short documents the label says most
-    learn(rng.permutation(short if len(short) > 2000 else np.flatnonzero(use_doc[doc]))[:warm_windows], 0.01)
+    learn(again(rng.permutation(short if len(short) > 2000 else np.flatnonzero(use_doc[doc]))[:warm_windows], warm_windows), 0.01)
     for e in range(epochs):
         memo = Windows(net)
         top, _, best, _ = features(net, lists, memo)
         some = np.flatnonzero(np.array([len(x) > 0 for x in lists]) & use_doc)
         rows = best[some]
         extra = rng.permutation(np.flatnonzero((y[doc] == 0) & use_doc[doc]))[: len(some)]
-        learn(np.concatenate([rows, extra]), 0.01 if e < epochs - 1 else 0.003)
+        learn(again(np.concatenate([rows, extra]), 4000), 0.01 if e < epochs - 1 else 0.003)
     top, soft, _, _ = features(net, lists, Windows(net))
     x = np.column_stack([top, soft, np.ones(len(top))])
     if apart.any():
