@@ -11,11 +11,21 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
+import regex
 
-CACHE_ENTRIES, CHUNK_CHARS = 1_000_000, 48
+CACHE_ENTRIES, PART_ENTRIES, CHUNK_CHARS = 700_000, 500_000, 48
 _UNSURE = re.compile("[^\x00-\x1b\x20-˿Ͱ-΢Τ-ԯ‐-‧‰-⁞₠-₿ぁ-ゖァ-ヺ一-鿿가-힣]")
+#: How the two shapes cut a chunk further, as their configuration files say.
+PRETOKENS = {
+    "bytes": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    "words": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+#: Bytes as the characters that byte-level vocabularies are written in.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_AS_TEXT = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _CONTROL = re.compile("[\x1c-\x1f]")
 _PIECES = re.compile(" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -43,28 +53,38 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         self.shape = _shape(config)
         self.special = [x["content"] for x in config.get("added_tokens") or []]
         self.seen: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.pattern = regex.compile(PRETOKENS[self.shape]) if self.shape else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Adds unseen chunks; long ones are returned and not kept."""
-        prefix = " " if self.shape == "bytes" else ""
-        new = list(chunks)
-        got = [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([prefix + c for c in new], add_special_tokens=False)]
-        if len(self.seen) + len(new) > CACHE_ENTRIES:
+        """Adds unseen chunks; long ones are returned and not kept. A chunk is the sum of its pretokens, and only pretokens
+        that weren't seen either go through the library's model (the steps before it have no more to do then)."""
+        if len(self.seen) + len(chunks) > CACHE_ENTRIES:
             self.seen.clear()
+        if len(self.parts) > PART_ENTRIES:
+            self.parts.clear()
+        prefix = " " if self.shape == "bytes" else ""
+        parts, seen, find, merge = self.parts, self.seen, self.pattern.findall, self.model.tokenize
         once = {}
-        for c, ids in zip(new, got):
-            if len(c) <= CHUNK_CHARS:
-                self.seen[c] = ids
-            else:
-                once[c] = ids
+        for c in chunks:
+            out = []
+            for p in find(prefix + c):
+                ids = parts.get(p)
+                if ids is None:
+                    ids = array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(_AS_TEXT))]).tobytes()
+                    if len(p) <= CHUNK_CHARS:
+                        parts[p] = ids
+                out.append(ids)
+            (seen if len(c) <= CHUNK_CHARS else once)[c] = out[0] if len(out) == 1 else b"".join(out)
         return once
 
     def _know(self, need: set[str]) -> dict[str, bytes]:
