@@ -75,7 +75,7 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
@@ -242,10 +242,20 @@ def filter_by(df: DataFrame, col: str, bits: bytes, present: bool = True) -> Dat
     def keep(batches):
         for b in batches:
             ids = b.column(b.schema.get_field_index(col))
+            ids = ids.cast(pa.int64())
             hit = in_bitmap(bits, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
             yield where(b, hit if present else ~hit)
 
-    return arrow_map(df, keep, ", ".join(f"{c} {t}" for c, t in df.dtypes))
+    return arrow_map(df, keep, df.schema)
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs but for the rows whose id is in dropped (doc_id). Only rows that the bitmap can't clear are shuffled, not the texts
+    of all that stays. Rows without an id stay."""
+    dropped = materialise(dropped.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct())
+    bits = bitmap(dropped, "doc_id")
+    unclear = filter_by(docs, id_col, bits).join(dropped.withColumnRenamed("doc_id", "__gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    return filter_by(docs, id_col, bits, present=False).unionByName(unclear.select(docs.columns))
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------
