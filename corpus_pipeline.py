@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import materialise
+from loomspan.llm.common import materialise, without
 from loomspan.llm.decontaminate import contamination
 from loomspan.llm.exact_dedup import exact_dedup
 from loomspan.llm.jaccard_join import jaccard_components
@@ -16,31 +16,25 @@ from loomspan.llm.tokens import vocabulary
 from loomspan.llm.toxicity import fit, toxicity
 
 
-def _only(docs, kept):
-    """docs whose id is in kept; ids are narrow, and a documents row finds its id by a plain join."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
-
-
 def drop_toxic(spark, docs, sf_dir):
     """Documents that the classifier rejects go. It learns from the labelled rows of documents that aren't held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _only(docs, toxicity(docs, fit(docs, labels)).filter("predicted = 0"))
+    return without(docs, toxicity(docs, fit(docs, labels)).filter("predicted = 1"))
 
 
 def drop_exact_copies(spark, docs, sf_dir):
     """Of documents with equal texts, one stays."""
-    return _only(docs, exact_dedup(docs).filter("kept"))
+    return without(docs, exact_dedup(docs).filter("not kept"))
 
 
 def drop_near_copies(spark, docs, sf_dir):
     """Of each component of linked documents, the one with the smallest id stays."""
-    return _only(docs, jaccard_components(docs).filter(F.col("doc_id") == F.col("component_id")))
+    return without(docs, jaccard_components(docs).filter(F.col("doc_id") != F.col("component_id")))
 
 
 def drop_contaminated(spark, docs, sf_dir):
     """Documents that hold a passage of the benchmark go."""
-    leaks = materialise(contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pack(spark, docs, sf_dir):
