@@ -50,6 +50,18 @@ def uses_graph(x) -> bool:
     return isinstance(x, Event) or any(t[0] in ("trav", "step", "group", "out", "in") for t in walk(x))
 
 
+def edges_for(rules) -> Column | None:
+    """The edges that paths of these rules can follow; None if all."""
+    labels, regexes = set(), set()
+    for r in rules:
+        for t in walk(r.pattern):
+            if t[0] in ("out", "in") and len(t) == 2:
+                if t[1] is None:
+                    return None
+                (labels if t[1][0] == "s" else regexes).add(t[1][1])
+    return F.filter("edges", lambda e: e["label"].isin(sorted(labels)) | F.lit(False) if not regexes else e["label"].isin(sorted(labels)) | e["label"].rlike("^(?:" + "|".join(f"(?:{x})" for x in sorted(regexes)) + ")\\z"))
+
+
 def token_test(p: tuple, at) -> Column:
     """A predicate as a Column; at(field) is the field's value at the position in question."""
     kind = p[0]
@@ -346,7 +358,11 @@ class Engine:
                 rows = rows.filter(any_rule)
         filters = sorted({r.filters for r in rules if r.filters})
         flags = [f"__ok{k}" for k in range(len(filters))]
-        cols = [*KEY, "num_tokens", *layers, *(["edges"] if graph else [])]
+        cols = [*KEY, "num_tokens", *layers, *(["__src", "__dst", "__label"] if graph else [])]
+        if graph:  # three flat lists: structs would be built one by one on the other side
+            kept = edges_for(rules)
+            rows = rows.select(*KEY, "num_tokens", *layers, (F.col("edges") if kept is None else kept).alias("__edges"))
+            rows = rows.withColumns({f"__{k}": F.col("__edges")[k] for k in ("src", "dst", "label")})
         rows = rows.select(*cols)
         if filters:
             if self.docs is None:
@@ -370,8 +386,8 @@ class Engine:
                     n = c[3][i] or 0
                     s = M.Sentence(n, {f: c[4 + k][i] for k, f in enumerate(layers) if c[4 + k][i] is not None})
                     if graph:
-                        s.edges = [(e["src"], e["dst"], e["label"]) for e in c[4 + n_layers][i] or ()]
-                    at = 4 + n_layers + graph
+                        s.edges = list(zip(c[4 + n_layers][i] or (), c[5 + n_layers][i] or (), c[6 + n_layers][i] or ()))
+                    at = 4 + n_layers + 3 * graph
                     if has_state:
                         for m in c[-1][i] or ():
                             s.state.setdefault(m["label"], []).append((m["start"], m["end"], nested_caps(m["caps"])))
