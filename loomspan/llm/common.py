@@ -7,6 +7,7 @@ column, whatever its name, is harmless), and treat a null text as the empty one.
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
@@ -57,14 +58,18 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_loomspan_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    local = os.path.join(tempfile.mkdtemp(prefix="loomspan-zip-"), "loomspan_package.zip")
-    atexit.register(shutil.rmtree, os.path.dirname(local), True)
-    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for at, _, names in os.walk(os.path.join(root, "loomspan")):
             for n in names:
                 if n.endswith(".py"):
                     z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), root))
-    sc.addPyFile(local)  # the driver serves it; executors fetch it from there
+    folder = scratch(spark)
+    fs, path = filesystem(folder)
+    fs.create_dir(path, recursive=True)
+    with fs.open_output_stream(f"{path}/loomspan_package.zip") as f:
+        f.write(held.getvalue())
+    sc.addPyFile(f"{folder}/loomspan_package.zip")
     sc._loomspan_shipped = True
 
 
