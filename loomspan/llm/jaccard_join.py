@@ -9,8 +9,8 @@ a + b <= o (1 - t) / t. So:
   each of its o-subsets; two sets link exactly when some common subset comes with small enough a and b. Nothing needs
   to be verified.
 * heavy (large) sets: inverted lists over each set's prefix, the |A| - ceil(t|A|) + 1 first elements in a global order;
-  linked sets share an element of their prefixes. Lists are scanned for pairs of fitting size, and pairs are verified
-  against the whole sets.
+  linked sets share an element of their prefixes. Lists are scanned for pairs of fitting size; pairs that
+  sketches of 1024 parity bits can't rule out are verified against the whole sets.
 
 The boundary between light and heavy is the size up to which enumerating costs no more than scanning; it is computed
 from the sizes of all documents. A pair of a light and a heavy set is found by the lists, which hold both near the
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import U64, arrow_map, base_of, bitmap, components, filter_by, in_bitmap, join_groups, materialise, mix, shingle_hashes, slices, utf8, words
 
 K = 5
-SHARED = 24
+SHARED = 8
+SKETCH = 1024
 
 
 def doc_sets(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +75,22 @@ def set_keys(sh: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(total(mix(sh)) ^ n).view(np.int64), mix(total(mix(sh ^ U64(0x5851F42D4C957F2D))) + n).view(np.int64)
 
 
+def sketches(sh: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """For each set, the parity of how many elements fall on each of 1024 bits.
+
+    Two sketches differ in at most as many bits as the sets differ in elements, so too many differing bits rule a link out.
+    """
+    n, out = len(off) - 1, []
+    at = (sh >> U64(54)).astype(np.int64)
+    for a in range(0, n, 1024):
+        b = min(a + 1024, n)
+        owner = np.repeat(np.arange(b - a), np.diff(off[a : b + 1]))
+        odd = np.bincount(owner * SKETCH + at[off[a] : off[b]], minlength=(b - a) * SKETCH) & 1
+        packed = np.packbits(odd.astype(bool)).reshape(b - a, SKETCH // 8)
+        out += [r.tobytes() for r in packed]
+    return out
+
+
 class Rule:
     """Links when den * overlap >= num * union."""
 
@@ -129,11 +146,11 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
             for b in slices(batch):
                 sh, off = doc_sets(b.column(1), k)
                 k1, k2 = set_keys(sh, off)
-                yield pa.record_batch([b.column(0), pa.array(np.diff(off)), pa.array(k1), pa.array(k2)], ["doc_id", "n", "k1", "k2"])
+                yield pa.record_batch([b.column(0), pa.array(np.diff(off)), pa.array(k1), pa.array(k2), pa.array(sketches(sh, off), pa.binary())], ["doc_id", "n", "k1", "k2", "sketch"])
 
-    flat = materialise(arrow_map(src, describe, "doc_id long, n long, k1 long, k2 long"))
+    flat = materialise(arrow_map(src, describe, "doc_id long, n long, k1 long, k2 long, sketch binary"))
     total = flat.count()
-    classes = materialise(flat.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n")))
+    classes = materialise(flat.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     light = boundary([(r.n, r.c) for r in classes.filter("n <= 64").groupBy("n").agg(F.count("*").alias("c")).collect()], rule)
 
     # elements that a task sees in several different sets; their number follows the input, the bitmap does not
@@ -142,7 +159,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
 
         def flush():
             v, c = np.unique(np.concatenate(parts), return_counts=True)
-            v, c = v[c > 2], c[c > 2]
+            v, c = v[c > 1], c[c > 1]
             return pa.record_batch([pa.array(v.view(np.int64)), pa.array(c)], ["e", "c"])
 
         for batch in batches:
@@ -154,7 +171,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
                         seen.add(key)
                         parts.append(sh[off[i] : off[i + 1]])
                         held += int(off[i + 1] - off[i])
-                if held > 4_000_000:
+                if held > 1_000_000:
                     yield flush()
                     parts, held = [], 0
         if parts:
@@ -257,7 +274,22 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
     cand = materialise(cand.groupBy("a1", "a2", "b1", "b2").agg(F.max("sure").alias("sure")))
 
     # verification: the sets of the classes that occur in open pairs, made again from one document of each
-    open_pairs = cand.filter("not sure")
+    def side(x):
+        return classes.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+
+    def not_ruled_out(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            na, nb = b.column(4).to_numpy(), b.column(6).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), U64).reshape(b.num_rows, -1) for c in (5, 7))
+            differ = np.bitwise_count(x ^ y).sum(axis=1)
+            # of a pair that differs in d elements at least, the overlap is (na + nb - d) / 2 at most
+            keep = 2 * num * (na + nb) <= (num + den) * (na + nb - differ.astype(np.int64))
+            yield b.select([0, 1, 2, 3]).filter(pa.array(keep))
+
+    rough = cand.filter("not sure").join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+    open_pairs = materialise(arrow_map(rough.select("a1", "a2", "b1", "b2", "n_a", "sketch_a", "n_b", "sketch_b"), not_ruled_out, "a1 long, a2 long, b1 long, b2 long"))
     ends = open_pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(open_pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct()
     need = materialise(classes.join(ends, ["k1", "k2"]).select("k1", "k2", "rep"))
     near = filter_by(src, "doc_id", bitmap(need, "rep"))
@@ -293,7 +325,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
     roots = components(named.select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))).withColumnRenamed("id", "rep")
     full = classes.join(degree, ["k1", "k2"], "left").join(roots, "rep", "left").select("k1", "k2", "size", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_similar"), F.coalesce("root", "rep").alias("component_id"))
     full = materialise(full)
-    some = join_groups(flat.filter("n > 0"), full, ["k1", "k2"], "size", total).select("doc_id", F.col("n").alias("n_shingles"), "n_similar", "component_id")
+    some = join_groups(flat.filter("n > 0").drop("sketch"), full, ["k1", "k2"], "size", total).select("doc_id", F.col("n").alias("n_shingles"), "n_similar", "component_id")
     none = flat.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none)
 
