@@ -7,9 +7,11 @@ column, whatever its name, is harmless), and treat a null text as the empty one.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -80,9 +82,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+def tidy(keep_tokens: bool = False) -> None:
+    """Gives back memory that earlier tasks of this worker hold: workers live on from job to job."""
+    tokens = sys.modules.get(__package__ + ".tokens")
+    if tokens is not None and not keep_tokens:
+        tokens.forget()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call, and needs none
+        pass
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keep_tokens: bool = False) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        tidy(keep_tokens)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def base_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -135,6 +135,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Empties the caches; the next text fills them again."""
+    for e in _ENCODERS.values():
+        e.seen, e.parts = {}, {}
+
+
 def vocabulary(name: str) -> str:
     """Place of a public vocabulary file on this machine; operators take the path as a parameter."""
     import public_tokenizers
