@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,12 @@ SEGMENT_IDS = 2_000_000
 NULL_ID = -(2**63)
 
 
+_SHORT = np.array([x.bit_length() for x in range(1 << 16)])
+
+
 def _bit_length(v: np.ndarray) -> np.ndarray:
+    if not len(v) or v.max() < 1 << 16:
+        return _SHORT[v.astype(np.int64)]
     out = np.zeros(len(v), np.int64)
     for s in (32, 16, 8, 4, 2, 1):
         big = v >= (np.uint64(1) << np.uint64(s))
@@ -49,18 +55,17 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     undone = np.ones(n, bool)
     for sel in range(1, 16):
         count, width = TABLE[sel]
-        bad = np.flatnonzero(bits > width)
-        if n - len(bad) < count and len(bad):
+        # only where enough small values follow each other; past the end of a block zeros pad the word
+        borders = np.concatenate([[-1], np.flatnonzero(bits > width), [n]])
+        gap = np.diff(borders) - 1
+        k = np.flatnonzero(gap >= count)
+        if not len(k):
             continue
-        after = np.full(n + 1, n)
-        after[bad] = bad
-        run = np.minimum.accumulate(after[::-1])[::-1][:n] - np.arange(n)
-        # near the end of a block fewer values may fill a word, if zeros pad it
-        fits = undone & (run >= np.minimum(count, left))
-        pick[fits] = sel
-        undone &= ~fits
-        if not undone.any():
-            break
+        size = gap[k] - count + 1
+        at = np.repeat(borders[k] + 1, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at = at[undone[at]]
+        pick[at] = sel
+        undone[at] = False
     counts = np.array([c for c, _ in TABLE])[pick]
     step = np.minimum(counts, left).tolist()
     at, i = [], 0
@@ -207,6 +212,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
             flush(part)
             s["f"].close()
             name = f"part-{part:08d}.s8b"
+            if fs.get_file_info(f"{out}/{name}").type != FileType.NotFound:  # this task ran before
+                fs.delete_file(f"{out}/{name}")
             fs.move(s["temp"], f"{out}/{name}")
             yield pa.record_batch([pa.array([name]), pa.array([s["d"]]), pa.array([s["n"]])], ["file", "docs", "ids"])
 
@@ -214,7 +221,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
     fs.create_dir(root, recursive=True)
     routed = arrow_map(src, route, "part long, target long, doc_id long, text string")
     ordered = routed.repartition(parts, "target").sortWithinPartitions("doc_id", "text")
-    done = arrow_map(ordered, write, "file string, docs long, ids long").collect()  # one small row a part file
+    done = arrow_map(ordered, write, "file string, docs long, ids long", keep_tokens=True).collect()  # one small row a part file
     return sorted((r.file, r.docs, r.ids) for r in done)
 
 
