@@ -32,8 +32,8 @@ from .induced import repeats
 
 WIDTH, GRAM = 100, 20
 SLICE = 256 << 10
-FLUSH = 1_000_000
-SHARD_BYTES = 1 << 20
+FLUSH = 250_000
+SHARD_BYTES = 1 << 19
 NULL_ID = -(2**63)
 _P, _R = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
