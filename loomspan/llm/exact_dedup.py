@@ -63,7 +63,7 @@ def _fingerprint(norm: bytes) -> int:
 def _splits(docs: DataFrame) -> DataFrame:
     """docs with the id of their input split. What doesn't come straight from files is written first."""
     plan = docs._jdf.queryExecution().executedPlan().toString()
-    if not docs.inputFiles() or any(x in plan for x in ("Exchange", "Sample", "Limit", "Generate", "InPandas", "InArrow", "Python", "InMemory", "LocalTableScan", "Scan ExistingRDD")):
+    if not docs.inputFiles() or any(x in plan for x in ("Exchange", "Sample", "Limit", "Generate", "InPandas", "InArrow", "Python", "InMemoryTableScan", "LocalTableScan", "Scan ExistingRDD")):
         docs = materialise(docs)
     return docs.withColumn("split", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
 
