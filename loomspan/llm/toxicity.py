@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained here in numpy.
 
 A word's input is the sum of its own embedding, if it is in at least five documents of the sample (rarer ones share a
-row of zeros, so no document can be learnt by heart), and of the mean embedding of its character trigrams. The network reads windows of 32 words that overlap by half, over the whole text; attention pools the states of a window to
+row of zeros, so no document can be learnt by heart), and of the mean embedding of its character trigrams. A run of more than 14 letters is read as several words that overlap by two
+letters, so every trigram is in one of them, also where a script puts no spaces. The network reads windows of 32 words that overlap by half, over the whole text; attention pools the states of a window to
 a logit. Training is multiple-instance: a document's label goes to its highest window. A logistic head over the highest
 window and the soft count of toxic windows, fitted to a fifth of the sample that the network didn't see, makes the
 document's score.
@@ -26,17 +27,22 @@ from .common import arrow_map, base_of, slices
 WINDOW, STRIDE, HIDDEN, DIM = 32, 16, 8, 12
 GRAMS, SEEN_IN = 1 << 12, 5
 CACHE = 300_000
+RUN = 14
 _WORD = re.compile(r"[^\W_]+")
 
 
 def word_list(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Words in order; of one longer than RUN, pieces of RUN letters that overlap by two, the last one reaching the end."""
+    found = _WORD.findall((text or "").lower())
+    if not found or max(map(len, found)) <= RUN:
+        return found
+    return [w[i : i + RUN] for w in found for i in ((0,) if len(w) <= RUN else (*range(0, len(w) - RUN, RUN - 2), len(w) - RUN))]
 
 
 def inputs(word: str, known: dict[str, int]) -> tuple[int, list[int]]:
-    """Row of the word table (0: unknown), rows of the character table."""
+    """Row of the word table (0: unknown), rows of the character table, one for each trigram."""
     w = f"<{word}>"
-    return known.get(word, 0), [1 + zlib.crc32(w[i : i + 3].encode()) % (GRAMS - 1) for i in range(min(len(w) - 2, 14))]
+    return known.get(word, 0), [1 + zlib.crc32(w[i : i + 3].encode()) % (GRAMS - 1) for i in range(len(w) - 2)]
 
 
 def windows(n: int) -> list[int]:

@@ -236,6 +236,27 @@ def test_toxicity(spark, empty):
     assert toxicity.fit(docs, labels.limit(0)).head[2] < 0
 
 
+def test_toxicity_reads_long_runs_whole():
+    trigrams = lambda w: {w[i : i + 3] for i in range(len(w) - 2)}
+    rng = random.Random(9)
+    for n in (1, 13, 14, 15, 16, 17, 26, 27, 40, 301):
+        w = "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+        got = toxicity.word_list(f"x {w}.")
+        assert got[0] == "x" and trigrams(w) == set().union(*map(trigrams, got[1:])) and "".join(got[1:])[-1] == w[-1]
+        assert all(len(toxicity.inputs(g, {})[1]) == len(g) <= 14 for g in got)
+
+    def run(toxic):  # an unspaced text that is toxic, if at all, behind its first 15 letters
+        w = "".join(rng.choice("abcdefghij") for _ in range(90))
+        at = rng.randrange(20, 80)
+        return w[:at] + "zworstz" * toxic + w[at:]
+
+    y = [k % 2 for k in range(500)]
+    texts = [run(t) for t in y]
+    net = toxicity.train(texts[:400], np.array(y[:400], np.float32), np.ones(400))
+    top, soft, _, _ = toxicity.features(net, [toxicity.word_list(t) for t in texts[400:]], toxicity.Windows(net))
+    assert np.mean((top * net.head[0] + soft * net.head[1] + net.head[2] >= 0) == (np.array(y[400:]) == 1)) > 0.9
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     net = toxicity.Net({"a": 1, "b": 2})
