@@ -330,6 +330,30 @@ def test_packing(spark, docs, empty, shard_rows):
         assert packing.best_fit_packing(empty, path).count() == 0
 
 
+def test_packing_moves_few_pieces_on(spark, monkeypatch):
+    rows = [(1, 0, 0, 600, 7)] * 9000 + [(k, 0, 0, 540 + k % 300, k) for k in range(2, 9002)] + [(k, 0, 0, 100, k) for k in range(20_000, 21_000)]
+    groups, real = [], packing.materialise
+
+    def watch(df):
+        out = real(df)
+        if "shard" in out.columns:
+            moved = out.filter("sequence_id is null")
+            groups.append([max([r["count"] for r in x.groupBy("shard").count().collect()], default=0) for x in (out, moved)])
+        return out
+
+    monkeypatch.setattr(packing, "materialise", watch)
+    got = packing.pack_pieces(spark.createDataFrame(rows, packing.PIECE).repartition(3), 1024, 2048).collect()
+    assert len(groups) == 2 and all(m <= 1024 for _, m in groups) and groups[0][0] < 2 * 2048 and groups[1][0] <= 16 * 1024
+    assert sorted((r.doc_id, r.length) for r in got) == sorted((r[0], r[3]) for r in rows)
+    seqs = collections.defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for s in seqs.values():
+        s.sort()
+        assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 1024
+    assert len(seqs) == 18_000  # no two of the long pieces fit, and the short ones fill gaps
+
+
 def test_evolution_beats_or_equals_best_fit():
     rng = random.Random(6)
     for _ in range(5):
