@@ -36,6 +36,16 @@ def test_pii_methods():
     assert pii.find_pii(None) == [] == pii.find_pii("")
 
 
+def test_iban_before_other_words():
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for t, want in ((f"{de} BIC COBADEFFXXX", [de]), (f"{gb} EUR 500", [gb]), (f"IBAN {de} {gb} X", [de, gb]), (f"AB12 {de}", [de]), (f"{de[:-1]}1 BIC COBADEFFXXX", [])):
+        assert [t[a:b] for k, a, b, _ in pii.find_pii(t) if k == "iban"] == want
+    began = time.time()
+    for c in ("AB12 ", "AB12", "A", "AB12 3456 7890 1234 5678 "):
+        pii.find_pii(c * 20_000)
+    assert time.time() - began < 20
+
+
 def test_pii_is_linear():
     began = time.time()
     for c in ("a", "1", "a.", "1.", "@", "+1", "1 ", "a@"):
