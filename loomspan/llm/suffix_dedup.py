@@ -9,8 +9,8 @@ of it all would take many times the input in disk. Only strings near differences
 2. Contexts that repeat are decided there and then: all but the first in (document, place) are covered. Each task does
    so for its own before it sends anything, so a passage that a third of all documents hold costs a row a task.
 3. An anchor with several different contexts (around edits and the ends of passages) needs byte by byte comparison: the
-   first of each of its contexts goes, with its bytes, to a shard, where all suffixes are sorted by external induced
-   sorting (induced.py) and neighbours that agree in 100 bytes are the repeats.
+   first of each of its contexts goes, with its bytes, to a shard, where all suffixes are sorted by induced sorting
+   (induced.py), in memory at this size of shard, and neighbours that agree in 100 bytes are the repeats.
 4. Anchors with very many different contexts, told by a bitmap of fixed size, are cut into single strings in step 1
    already, which step 2 settles; so no shard gets an unbounded group.
 
