@@ -4,7 +4,8 @@ A benchmark item is cut into passages of 80 bytes that overlap by half (a shorte
 bytes that occurs with at most e edits shares at least m - q + 1 - q e of its q-grams with the place, all of them on at
 most e + 1 neighbouring diagonals. So: look up each q-gram of a text (8 bytes, one 64-bit number), count hits by passage
 and cell of e + 1 diagonals, keep pairs of neighbouring cells (the overlapping bands) that reach the bound, and verify
-those regions by banded alignment. Nothing that meets the edit budget is missed.
+those regions by banded alignment. No passage that meets the edit budget is missed. An excerpt of an item that holds none of its
+passages isn't looked for: that can be so up to 118 bytes.
 
 Texts are compared with A-Z lower-cased and runs of white space as one space.
 """
