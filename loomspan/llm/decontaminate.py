@@ -7,20 +7,25 @@ and cell of e + 1 diagonals, keep pairs of neighbouring cells (the overlapping b
 those regions by banded alignment. No passage that meets the edit budget is missed. An excerpt of an item that holds none of its
 passages isn't looked for: that can be so up to 118 bytes.
 
+Items of fewer than 8 bytes hold no q-gram; they are searched for as whole words.
+
 Texts are compared with A-Z lower-cased and runs of white space as one space.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_WS, _LOWER, U64, arrow_map, base_of, mix, slices, utf8
+from .common import _IS_WS, _LOWER, U64, arrow_map, base_of, mix, runs, slices, utf8
 
 Q, PASSAGE, STRIDE, EDIT_SHARE = 8, 80, 40, 0.1
 BLOCK_BYTES = 4 << 20
+HITS, REGIONS = 1 << 20, 4096
 _TABLE_BITS = 20
 
 
@@ -53,12 +58,15 @@ class Passages:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item, self.text, self.at = [], [], []
+        self.short: list[tuple[int, re.Pattern]] = []
         for i, t in items:
             raw = np.frombuffer((t or "").encode(), np.uint8)
             b = squeeze(raw, np.array([0, len(raw)]))[0]
             b = np.frombuffer(b.tobytes().strip(), np.uint8)
-            if len(b) < Q:
-                continue  # too short to mean anything: it would be found everywhere
+            if len(b) < Q:  # no q-gram: whole words are compared
+                if len(b):
+                    self.short.append((i, re.compile(b"(?<![0-9a-z\x80-\xff])" + re.escape(b.tobytes()) + b"(?![0-9a-z\x80-\xff])")))
+                continue
             starts = [0] if len(b) <= PASSAGE else [*range(0, len(b) - PASSAGE, STRIDE), len(b) - PASSAGE]
             for s in starts:
                 self.item.append(i)
@@ -78,30 +86,56 @@ class Passages:
         self.table[(mix(self.gram) >> U64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
 
-def align(p: np.ndarray, regions: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fewest edits between p and a part of each region, with the place where that part ends. Rows of regions are windows
-    as wide as the band; 0 (never in squeezed text's place) pads them."""
-    c, w = regions.shape
-    col = np.arange(w + 1)
-    d = np.zeros((c, w + 1), np.int16)
+def align(p: np.ndarray, regions: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edits between p and a part of each region, with the end of that part, inside a band of width + 1 diagonals.
+
+    Regions are columns of len(p) + width bytes; bytes outside their text are 0, which squeezed text doesn't hold, so that letters of p
+    aligned there cost an edit each, as if they were left out.
+    """
+    d = np.zeros((width + 1, regions.shape[1]), np.int8)
     for i, x in enumerate(p.tolist()):
-        new = np.empty_like(d)
-        new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(d[:, :-1] + (regions != x), d[:, 1:] + 1)
-        d = (np.minimum.accumulate(new - col, axis=1) + col).astype(np.int16)
-    end = d.argmin(axis=1)
-    return d[np.arange(c), end].astype(np.int64), starts + end
+        new = d + (regions[i : i + width + 1] != x)
+        np.minimum(new[:-1], d[1:] + np.int8(1), out=new[:-1])
+        by = 1
+        while by <= width:  # letters of the text left out: by doubling, which numpy does faster than a running minimum
+            np.minimum(new[by:], new[:-by] + np.int8(by), out=new[by:])
+            by *= 2
+        d = new
+    end = d.argmin(axis=0)
+    return d[end, np.arange(d.shape[1])].astype(np.int64), len(p) + end
+
+
+def tally(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and how often each occurs."""
+    low = key.min()
+    if key.max() - low < 4 * len(key):
+        count = np.bincount(key - low)
+        seen = np.flatnonzero(count)
+        return seen + low, count[seen]
+    return np.unique(key, return_counts=True)
 
 
 def search(texts: pa.Array, P: Passages) -> list[tuple[int, int, int, int, int, int]]:
     """(row, item, passages found, fewest edits, first byte, last byte + 1) by row and item; bytes of the original text."""
-    if not len(P.gram):
-        return []
     raw, raw_off = utf8(texts)
+    if not len(raw):
+        return []
     b, off, back = squeeze(raw, raw_off)
+    found: dict[tuple[int, int], list] = {}
+    for d in range(len(off) - 1 if P.short else 0):
+        one = b[off[d] : off[d + 1]].tobytes()
+        for i, pattern in P.short:
+            if hits := [m.span() for m in pattern.finditer(one)]:
+                found[d, i] = [{-1}, 0, int(back[off[d] + hits[0][0]] - raw_off[d]), int(back[off[d] + hits[-1][1] - 1] + 1 - raw_off[d])]
+    long_items(b, off, back, raw_off, P, found)
+    return [(d, i, len(f[0]), f[1], f[2], f[3]) for (d, i), f in sorted(found.items())]
+
+
+def long_items(b: np.ndarray, off: np.ndarray, back: np.ndarray, raw_off: np.ndarray, P: Passages, found: dict) -> None:
+    """Adds what the passages give to found: (row, item) -> [passages, fewest edits, first byte, last byte + 1]."""
     g = grams(b)
-    if not len(g):
-        return []
+    if not len(g) or not len(P.gram):
+        return
     near = np.flatnonzero(P.table[(mix(g) >> U64(64 - _TABLE_BITS)).astype(np.int64)])
     k = np.searchsorted(P.gram, g[near])
     ok = P.gram[np.minimum(k, len(P.gram) - 1)] == g[near]
@@ -111,48 +145,55 @@ def search(texts: pa.Array, P: Passages) -> list[tuple[int, int, int, int, int,
     near, k, doc = near[inside], k[inside], doc[inside]
     n = P.first[k + 1] - P.first[k]
     if not n.sum():
-        return []
-    place = np.repeat(P.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    who, diag, doc = P.who[place], np.repeat(near, n) - P.pos[place] + PASSAGE, np.repeat(doc, n)
-    cell = diag // (P.edits[who] + 1)
-    width = int(cell.max()) + 2
-    key = (doc * len(P.text) + who) * width + cell
-    key, count = np.unique(key, return_counts=True)
-    follow = np.zeros(len(key), np.int64)
-    follow[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
-    who = key // width % len(P.text)
-    before = np.zeros(len(key), np.int64)
-    before[1:] = np.where(key[1:] == key[:-1] + 1, count[:-1], 0)
-    full = np.flatnonzero((count + follow >= P.bound[who]) & (count + follow >= 1))
-    found: dict[tuple[int, int], list[int]] = {}
-    who_full = who[full]
-    for p in np.unique(who_full).tolist():
-        sel = full[who_full == p]
+        return
+    kinds = len(P.text)
+    width = (len(b) + 2 * PASSAGE) // (int(P.edits.min()) + 1) + 2
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    total = np.cumsum(n)
+    at = 0
+    while at < len(n):  # a gram may be at many places of the passages: hits are counted HITS at a time
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HITS, side="right")))
+        m = n[at:end]
+        place = np.repeat(P.first[k[at:end]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        who, diag = P.who[place], np.repeat(near[at:end], m) - P.pos[place] + PASSAGE
+        parts.append(tally((np.repeat(doc[at:end], m) * width + diag // (P.edits[who] + 1)) * kinds + who))
+        if len(parts) > 16 or end >= len(n):
+            key, count = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(key, kind="stable")
+            key, count = key[order], count[order]
+            head = runs(key)
+            parts = [(key[head], np.add.reduceat(count, head))]
+        at = end
+    key, count = parts[0]
+    after = np.minimum(np.searchsorted(key, key + kinds), len(key) - 1)
+    both = count + np.where(key[after] == key + kinds, count[after], 0)
+    full = key[both >= np.maximum(P.bound[key % kinds], 1)]
+    for p in np.unique(full % kinds).tolist():
+        mine = full[full % kinds == p] // kinds
         e, m = int(P.edits[p]), len(P.text[p])
-        d = key[sel] // width // len(P.text)
-        lo = np.maximum((key[sel] % width) * (e + 1) - PASSAGE - e, off[d])
-        size = m + 2 * (e + 1) + 2 * e
-        at = lo[:, None] + np.arange(size)[None, :]
-        limit = off[d + 1][:, None]
-        regions = np.where(at < limit, b[np.minimum(at, len(b) - 1)], np.uint8(0))
-        edits, end = align(P.text[p], regions, lo)
-        for j in np.flatnonzero(edits <= e).tolist():
-            last = int(min(end[j], off[d[j] + 1]))
-            first = int(max(last - m - e, off[d[j]]))
-            f = found.setdefault((int(d[j]), P.item[p]), [set(), 10**9, 10**18, -1])
-            f[0].add(p)
-            f[1] = min(f[1], int(edits[j]))
-            f[2] = min(f[2], int(back[first] - raw_off[d[j]]))
-            f[3] = max(f[3], int(back[last - 1] + 1 - raw_off[d[j]]))
-    return [(d, i, len(f[0]), f[1], f[2], f[3]) for (d, i), f in sorted(found.items())]
+        band = 2 * (e + 1) + 2 * e
+        for some in (mine[i : i + REGIONS] for i in range(0, len(mine), REGIONS)):
+            d = some // width
+            lo = some % width * (e + 1) - PASSAGE - e
+            at = lo[None, :] + np.arange(m + band)[:, None]
+            inside = (at >= off[d]) & (at < off[d + 1])
+            edits, end = align(P.text[p], np.where(inside, b[np.clip(at, 0, len(b) - 1)], np.uint8(0)), band)
+            for j in np.flatnonzero(edits <= e).tolist():
+                last = int(min(lo[j] + end[j], off[d[j] + 1]))
+                first = int(max(last - m - e, off[d[j]]))
+                f = found.setdefault((int(d[j]), P.item[p]), [set(), 10**9, 10**18, -1])
+                f[0].add(p)
+                f[1] = min(f[1], int(edits[j]))
+                f[2] = min(f[2], int(back[first] - raw_off[d[j]]))
+                f[3] = max(f[3], int(back[last - 1] + 1 - raw_off[d[j]]))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_passages, edits, start, end: a row for each document and item whose passage it holds.
 
     start and end are bytes of the text. Benchmark items are the query set: they go to the tasks in blocks of at most
-    4 MB of text, a scan of the documents for each block. Null or empty texts and items, and items of fewer than 8
-    bytes, match nothing. Rows that repeat are searched each; items that repeat an id are joined under it.
+    4 MB of text, a scan of the documents for each block. Null or empty texts and items match nothing; an item of
+    fewer than 8 bytes is found where it stands as a whole word or words. Rows that repeat are searched each; items that repeat an id are joined under it.
     """
     items = bench.select(bench[item_col].cast("long").alias("i"), bench[item_text].cast("string").alias("t")).filter("t is not null").orderBy("i", "t")
     src = base_of(docs, id_col, text_col)

@@ -2,6 +2,8 @@ import collections
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -181,12 +183,15 @@ def test_decontaminate(spark, empty):
                 at = rng.randrange(len(b))
                 b[at : at + 1] = rng.choice([[], ["q"], [b[at], "q"]])
             texts.append(words(rng, 30) + "  " + "".join(b).upper() + "\n" + words(rng, 30))
+            texts.append("".join(b)[2:] + " " + words(rng, 5))  # cut at the text's beginning and end
+            texts.append(words(rng, 5) + " " + "".join(b)[:-2])
+    texts += ["SHORT", "it is short.", "shortly", "a\x20short", *(texts[-1:] * 2), words(rng, 1200) + items[3][1] + words(rng, 1200)]
     docs = spark.createDataFrame([(k, t, 1, 1, "", 1) for k, t in enumerate(texts)], SCHEMA)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, bench).collect()}
     fold = lambda t: re.sub(r"[\x20\x09-\x0d]+", " ", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")).encode()
     P = decontaminate.Passages(items)
-    want = {(k, P.item[p]) for k, t in enumerate(texts) for p in range(len(P.text)) if sellers(bytes(P.text[p]), fold(t)) <= P.edits[p]}
+    want = {(k, 10) for k, t in enumerate(texts) if re.search(r"(?<![0-9a-z])short(?![0-9a-z])", fold(t).decode())} | {(k, P.item[p]) for k, t in enumerate(texts) for p in range(len(P.text)) if sellers(bytes(P.text[p]), fold(t)) <= P.edits[p]}
     assert got == want and len(want) > 8
     assert decontaminate.contamination(empty, bench).count() == 0 == decontaminate.contamination(docs, bench.limit(0)).count()
     blocks = decontaminate.BLOCK_BYTES
@@ -197,6 +202,15 @@ def test_decontaminate(spark, empty):
         decontaminate.BLOCK_BYTES = blocks
 
 
+def test_decontaminate_runs_of_one_letter():
+    P = decontaminate.Passages([(1, "a rule " + "-" * 60 + " and words that follow it in the text"), (2, "-" * 80)])
+    tracemalloc.start()
+    began = time.time()
+    assert decontaminate.search(pa.array(["-" * 200_000]), P) == [(0, 2, 1, 0, 0, 200_000)]
+    assert time.time() - began < 30 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
 def test_licenses(spark, docs, empty):
     rng = random.Random(8)
     rows, want = [], set()
