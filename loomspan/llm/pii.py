@@ -8,6 +8,7 @@ need a score of at least 0.5 and mustn't overlap a base span. All scanning is li
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -109,11 +110,18 @@ def find_pii(text: str | None) -> list[tuple[str, int, int, float]]:
     more = [("iban", a, b) for a, b in ibans(text)]
     more += [("ssn", *m.span()) for m in _SSN.finditer(text) if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"]
     more += [("card14", *m.span()) for m in _CARD.finditer(text) if 13 <= m.end() - m.start() < 40 and 13 <= len(d := _digits(m.group())) <= 15 and d[0] in "3456" and luhn(d)]
-    taken = sorted((a, b) for _, a, b in base)
+    begins, ends = [], []  # what base spans cover, as stretches apart from each other
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
     out = [(k, a, b, score(k, text, a, b)) for k, a, b in base]
     for k, a, b in more:
         s = score(k, text, a, b)
-        if s >= 0.5 and not any(x < b and a < y for x, y in taken):
+        last = bisect.bisect_left(begins, b) - 1
+        if s >= 0.5 and (last < 0 or ends[last] <= a):
             out.append((k, a, b, s))
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1]))
 

@@ -62,6 +62,37 @@ def naive_secrets(t):
     return sorted(out, key=lambda x: (x[1], secrets.BASE.index(x[0])))
 
 
+MORE = {"github": (r"gh[pousr]_[A-Za-z0-9]+", 36), "slack": (r"xox[abprs]-[A-Za-z0-9-]+", 15), "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0), "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40)}
+
+
+def all_secrets(t):
+    more = [(k, *m.span()) for k, (p, least) in MORE.items() for m in re.finditer(p, t) if m.end() - m.start() >= least]
+    return sorted([*naive_secrets(t), *more], key=lambda x: (x[1], secrets.NAMES.index(x[0])))
+
+
+def test_all_secrets_equal_patterns():
+    rng = random.Random(4)
+    bits = ["eyJ", "eyJhbGciOiJIUzI1NiJ9", ".", ".eyJ", "_-", " ", "ghp_", "ghs_", "a1B2c3D4e5" * 4, "xoxb-", "xoxp-", "123-abc-456", "-----", "-", "BEGIN ", "RSA ", "PRIVATE KEY", "-----BEGIN ", "PRIVATE KEY-----", "é", "token=", "passwd:", "AKIA", "0123456789abcdef"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + [None, "", "é" * 300 + " token: '" + "a" * 500_000]
+    for t, g in zip(texts, secrets.find_secrets(pa.array(texts, pa.string()))):
+        assert g == all_secrets(t or ""), t
+
+
+def test_secrets_are_linear():
+    began = time.time()
+    for t in ("eyJa.eyJb " + "eyJ" * 100_000, "eyJa." * 60_000, "token=" * 50_000, "token  " * 40_000 + "=a", "-----BEGIN " * 30_000, "AKIA" * 70_000, "deadbeef" * 40_000):
+        secrets.find_secrets(pa.array([t]))
+    assert time.time() - began < 30
+
+
+def test_added_pii_beside_many_base_spans():
+    began = time.time()
+    t = "iban DE89 3704 0044 0532 0130 00 a@b.co " * 8000
+    found = pii.find_pii(t)
+    assert len(found) == 16_000 and time.time() - began < 20
+    assert not [x for x in pii.find_pii("ssn a123-45-6789@b.co") if x[0] == "ssn"]
+
+
 def test_base_secrets_equal_patterns():
     rng = random.Random(3)
     bits = ["token", "Password", "api_key", "APIKEY", '"', "'", " ", ":", "=", "AKIA", "ABCDEFGH12", "deadbeef", "0123456789abcdef", "é", "\n", "xyz-_/+", "secret", "ghp_"]
