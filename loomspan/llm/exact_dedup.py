@@ -1,8 +1,9 @@
 """Exact duplicates by an exchange of Golomb-coded fingerprints.
 
-1. Each input split hashes its texts (white space deleted) to 44 bits, sorts the hashes by owner, and sends each
-   owner one Rice-coded list of gaps: some 4 bytes a document instead of the text.
-2. An owner decodes its lists, finds the fingerprints that occur twice, and answers each split with a bitmap.
+1. Each input split hashes its texts (white space deleted) to 44 bits, sorts the distinct hashes by owner, and sends each
+   owner one Rice-coded list of gaps, some 4 bytes a document instead of the text, with a bit for each that says whether the split
+   holds it more than once. So a text that a third of all rows hold costs an owner one value a split.
+2. An owner decodes its lists, finds the fingerprints that occur in two splits or twice in one, and answers each split with a bitmap.
 3. Splits scan again: rows that the bitmap clears are final; the others, the suspects, send their bytes, and rows are
    grouped by the bytes themselves, so no collision can join different texts.
 
@@ -86,23 +87,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for split, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 prints.setdefault(split, []).append(_fingerprint((text or "").encode().translate(None, _DROP)))
         for split, got in prints.items():
-            v = np.sort(np.array(got, U64))
+            v, often = np.unique(np.array(got, U64), return_counts=True)
             k = max(0, int(np.log2(2**BITS / max(1, len(v)))))
             who = (v * U64(owners)) >> U64(BITS)
             for o in np.unique(who):
                 own = v[who == o]
-                yield pa.record_batch([pa.array([int(o)]), pa.array([split]), pa.array([len(own)], pa.int32()), pa.array([k], pa.int32()), pa.array([rice(own - own[0], k) if len(own) else b""]), pa.array([int(own[0])])], ["owner", "split", "n", "k", "code", "base"])
+                many = np.packbits(often[who == o] > 1).tobytes()
+                yield pa.record_batch([pa.array([int(o)]), pa.array([split]), pa.array([len(own)], pa.int32()), pa.array([k], pa.int32()), pa.array([rice(own - own[0], k)]), pa.array([int(own[0])]), pa.array([many])], ["owner", "split", "n", "k", "code", "base", "many"])
 
     def answer(key, table):
         rows = table.to_pylist()
         lists = [unrice(r["code"], r["n"], r["k"]) + U64(r["base"]) for r in rows]
-        allv = np.sort(np.concatenate(lists))
-        twice = np.unique(allv[1:][allv[1:] == allv[:-1]])
+        here = [v[np.unpackbits(np.frombuffer(r["many"], np.uint8))[: len(v)] == 1] for r, v in zip(rows, lists)]
+        allv = np.sort(np.concatenate(lists))  # each value once a split
+        twice = np.unique(np.concatenate([allv[1:][allv[1:] == allv[:-1]], *here]))
         marks = [np.packbits(np.isin(v, twice)).tobytes() for v in lists]
-        return table.append_column("twice", pa.array(marks, pa.binary()))
+        return table.drop_columns("many").append_column("twice", pa.array(marks, pa.binary()))
 
     schema = "owner long, split long, n int, k int, code binary, base long"
-    codes = arrow_map(src.select("split", "text"), encode, schema)
+    codes = arrow_map(src.select("split", "text"), encode, schema + ", many binary")
     buckets = max(1, min(4096, total // 50_000))
     folder = scratch(spark) + "/bitmaps"
     answers = codes.groupBy("owner").applyInArrow(answer, schema + ", twice binary")
