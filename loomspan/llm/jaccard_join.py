@@ -12,9 +12,9 @@ a + b <= o (1 - t) / t. So:
   linked sets share an element of their prefixes. Lists are scanned for pairs of fitting size; pairs that
   sketches of 1024 parity bits can't rule out are verified against the whole sets.
 
-The boundary between light and heavy is the size up to which enumerating costs no more than scanning; it is computed
-from the sizes of all documents. A pair of a light and a heavy set is found by the lists, which hold both near the
-boundary.
+The boundary between light and heavy is the size up to which enumerating costs less than scanning. It is computed from how many
+sets of each size there are and how many pairs their inverted lists would make to be verified, counted for all small sets.
+A pair of a light and a heavy set is found by the lists, which hold both near the boundary.
 
 The global order puts elements that many documents share last (so they leave the prefixes): a bitmap of fixed size
 says which those are. Any such function of the element is a correct order, so neither collisions in the bitmap nor
@@ -35,6 +35,7 @@ from .common import U64, arrow_map, base_of, bitmap, components, filter_by, in_b
 
 K = 5
 SHARED = 8
+NO_ID = 2**63 - 1  # stands for a null id, behind all others
 SKETCH = 1024
 
 
@@ -112,46 +113,64 @@ class Rule:
         return [(n - a, a) for a in range(n) if a <= self.alone(n - a)]
 
     def subset_count(self, n: int) -> int:
-        return sum(math.comb(n, a) for _, a in self.subsets(n))
+        return sum(math.comb(n, a) for o, a in self.subsets(n) if self.alone(o))
 
 
-def boundary(sizes: list[tuple[int, int]], rule: Rule, most: int = 64) -> int:
-    """Largest size worth enumerating. sizes: (set size, classes) over all documents.
+MOST = 29  # sets larger than this have over 400 subsets, and soon thousands
 
-    Scanning costs, for each set, its prefix elements, and for each that may link, twice the whole set when verified
-    (taken as one set in four). Enumerating costs one row a subset.
+
+def boundary(sizes: list[tuple[int, int, float]], rule: Rule, most: int = MOST) -> int:
+    """Largest size worth enumerating. sizes: (set size, sets, pairs that their lists make), over all sets up to most.
+
+    In rows of some 30 bytes that are shuffled: enumerating costs a row a subset and no more. Scanning costs a row for each prefix
+    element, and for each pair some twelve rows (itself, and two sketches joined to it) and the two sets, made again from their
+    documents and joined, a row an element.
     """
-    best, cost = 0, 0.0
-    lowest = 0.0
-    for n, c in sorted(sizes):
-        if n < 1 or n > most:
-            continue
-        cost += c * (rule.subset_count(n) - (rule.prefix(n) + n / 2))
-        if cost <= lowest:
-            best, lowest = n, cost
+    best, cost, lowest = 0, 0.0, 0.0
+    for n, sets, pairs in sorted(sizes):
+        if 1 <= n <= most:
+            cost += sets * (rule.subset_count(n) - rule.prefix(n)) - pairs * (12 + n)
+            if cost < lowest:
+                best, lowest = n, cost
     return best
 
 
+def small_sizes(classes: DataFrame) -> list[tuple[int, int, float]]:
+    """(size, sets, pairs that inverted lists make) for the small sets; at most MOST rows. classes: n, few.
+
+    Elements that are in many sets leave the prefixes, so their lists aren't counted.
+    """
+    small = classes.filter(F.col("n") <= MOST)
+    lists = small.select("n", F.explode("few").alias("e"))
+    long = lists.groupBy("e").agg(F.count("*").alias("m")).filter((F.col("m") > 1) & (F.col("m") < SHARED))
+    pairs = lists.join(long, "e").groupBy("n").agg(F.sum((F.col("m") - 1) / 2).alias("pairs"))
+    got = small.groupBy("n").agg(F.count("*").alias("sets")).join(pairs, "n", "left")
+    return [(r.n, r.sets, float(r.pairs or 0)) for r in got.collect()]
+
+
 def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, n_similar, component_id.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows that repeat are documents of their own: each
-    counts the others (by rows), and ids decide the component. No rows in, no rows out.
+    counts the others (by rows), and ids decide the component. Rows without an id are documents too: they count as similar to others
+    and link them, under the id NO_ID where none of their component has one, which is returned as null. Texts are read whole,
+    however long. No rows in, no rows out.
     """
     rule = Rule(num, den)
-    src = base_of(docs, id_col, text_col)
+    src = base_of(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
 
     def describe(batches):
         for batch in batches:
             for b in slices(batch):
                 sh, off = doc_sets(b.column(1), k)
                 k1, k2 = set_keys(sh, off)
-                yield pa.record_batch([b.column(0), pa.array(np.diff(off)), pa.array(k1), pa.array(k2), pa.array(sketches(sh, off), pa.binary())], ["doc_id", "n", "k1", "k2", "sketch"])
+                few = [sh[off[i] : off[i] + rule.prefix(int(n))].view(np.int64) if 0 < n <= MOST else [] for i, n in enumerate(np.diff(off))]
+                yield pa.record_batch([b.column(0), pa.array(np.diff(off)), pa.array(k1), pa.array(k2), pa.array(sketches(sh, off), pa.binary()), pa.array(few, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "sketch", "few"])
 
-    flat = materialise(arrow_map(src, describe, "doc_id long, n long, k1 long, k2 long, sketch binary"))
+    flat = materialise(arrow_map(src, describe, "doc_id long, n long, k1 long, k2 long, sketch binary, few array<long>"))
     total = flat.count()
-    classes = materialise(flat.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    light = boundary([(r.n, r.c) for r in classes.filter("n <= 64").groupBy("n").agg(F.count("*").alias("c")).collect()], rule)
+    classes = materialise(flat.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("few").alias("few")))
+    light = boundary(small_sizes(classes), rule)
 
     # elements that a task sees in several different sets; their number follows the input, the bitmap does not
     def repeated(batches):
@@ -174,6 +193,8 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
                 if held > 1_000_000:
                     yield flush()
                     parts, held = [], 0
+                    if len(seen) > 200_000:
+                        seen.clear()  # a set counted again only puts its elements later in the order
         if parts:
             yield flush()
 
@@ -216,7 +237,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
                         S.append(first)
                         W.append(np.zeros(p, np.int64))
                         D.append(np.full(p, i))
-                if len(seen) > 2_000_000:
+                if len(seen) > 200_000:
                     seen.clear()  # only saves repeats
                 if S:
                     d = np.concatenate(D)
@@ -325,9 +346,11 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
     roots = components(named.select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))).withColumnRenamed("id", "rep")
     full = classes.join(degree, ["k1", "k2"], "left").join(roots, "rep", "left").select("k1", "k2", "size", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_similar"), F.coalesce("root", "rep").alias("component_id"))
     full = materialise(full)
-    some = join_groups(flat.filter("n > 0").drop("sketch"), full, ["k1", "k2"], "size", total).select("doc_id", F.col("n").alias("n_shingles"), "n_similar", "component_id")
+    some = join_groups(flat.filter("n > 0").drop("sketch", "few"), full, ["k1", "k2"], "size", total).select("doc_id", F.col("n").alias("n_shingles"), "n_similar", "component_id")
     none = flat.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"))
-    return some.unionByName(none)
+    out = some.unionByName(none)
+    given = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    return out.select(given("doc_id"), "n_shingles", "n_similar", given("component_id"))
 
 
 def op1_jaccard_join(spark, sf_dir):
