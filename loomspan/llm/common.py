@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import io
 import os
 import shutil
@@ -26,20 +27,25 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 WS = " \t\n\x0b\x0c\r"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 # --- scratch space and shipping -------------------------------------------------------------------------------------
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder (URI) in the shared folder that spark.checkpoint.dir names; only if unset, a local one of our own."""
+    """A new folder (URI) in the shared folder that spark.checkpoint.dir names; removed when the application ends.
+
+    Only where that is unset, and only on one machine, as in tests, a local folder of our own takes its place.
+    """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = sc._jsc.sc().getCheckpointDir()
         base = known.get() if known.isDefined() else None
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="loomspan-")
         sc.setCheckpointDir(base)
         atexit.register(shutil.rmtree, base[7:], True)
@@ -47,7 +53,22 @@ def scratch(spark: SparkSession) -> str:
         base = "file://" + os.path.abspath(base)
     if base.startswith("file:/") and not base.startswith("file://"):
         base = "file://" + base[5:]
-    return f"{base.rstrip('/')}/loomspan-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(_clear)
+    _MADE.append(f"{base.rstrip('/')}/loomspan-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+_MADE: list[str] = []
+
+
+def _clear() -> None:
+    for uri in _MADE:
+        fs, path = filesystem(uri)
+        try:
+            fs.delete_dir(path)
+        except OSError:  # never written to, or gone with its parent
+            pass
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -83,10 +104,19 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def tidy(keep_tokens: bool = False) -> None:
-    """Gives back memory that earlier tasks of this worker hold: workers live on from job to job."""
-    tokens = sys.modules.get(__package__ + ".tokens")
+    """Gives back memory that earlier tasks of this worker hold: workers live on from job to job.
+
+    That is what modules remember, Arrow's own pool, objects in cycles, and free pages of the C library.
+    """
+    global _POW
+    tokens, suffixes = (sys.modules.get(f"{__package__}.{m}") for m in ("tokens", "suffix_dedup"))
     if tokens is not None and not keep_tokens:
         tokens.forget()
+    if suffixes is not None:
+        suffixes._POWERS.clear()
+    _POW = _POW[: 1 << 12].copy()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library has no such call, and needs none
@@ -99,6 +129,8 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def run(batches):
         tidy(keep_tokens)
         yield from fn(batches)
+        del batches
+        tidy(keep_tokens)
 
     return df.mapInArrow(run, schema)
 
@@ -277,7 +309,10 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
     of all that stays. Rows without an id stay."""
     dropped = materialise(dropped.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct())
     bits = bitmap(dropped, "doc_id")
-    unclear = filter_by(docs, id_col, bits).join(dropped.withColumnRenamed("doc_id", "__gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = "__gone"
+    while gone in docs.columns:
+        gone += "_"
+    unclear = filter_by(docs, id_col, bits).join(dropped.withColumnRenamed("doc_id", gone), F.col(id_col) == F.col(gone), "left_anti")
     return filter_by(docs, id_col, bits, present=False).unionByName(unclear.select(docs.columns))
 
 

@@ -82,9 +82,8 @@ def shingle_set(t):
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-@pytest.mark.parametrize("light", [None, 0, 25])
-def test_jaccard(spark, docs, empty, light, monkeypatch):
-    rows = table(docs)
+def linked(rows):
+    """doc_id -> (shingles, direct links, smallest id reachable) of rows with distinct ids."""
     sets = {i: shingle_set(t) for i, t in rows}
     near = collections.defaultdict(set)
     for a in sets:
@@ -99,16 +98,42 @@ def test_jaccard(spark, docs, empty, light, monkeypatch):
             if x not in root:
                 root[x] = i
                 todo += near[x]
-    want = {i: (len(s), len(near[i]), root[i]) for i, s in sets.items()}
+    return {i: (len(s), len(near[i]), root[i]) for i, s in sets.items()}
+
+
+def joined(df, **k):
+    return {r.doc_id: (r.n_shingles, r.n_similar, r.component_id) for r in jaccard_join.jaccard_components(df, **k).collect()}
+
+
+@pytest.mark.parametrize("light", [None, 0, 25])
+def test_jaccard(spark, docs, empty, light, monkeypatch):
+    want = linked(table(docs))
     if light is not None:
         monkeypatch.setattr(jaccard_join, "boundary", lambda *_: light)
-    got = {r.doc_id: (r.n_shingles, r.n_similar, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
-    assert got == want
+    assert joined(docs) == want
     assert sum(v[1] > 0 for v in want.values()) > 10
     if light is None:
         assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_light_half(spark, monkeypatch):
+    """Many short near copies: the cost sends them to the enumeration, which finds their links."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        w = words(rng, rng.randint(15, 22)).split()
+        texts += [" ".join(w), " ".join([*w, "more"]), " ".join([*w, "else"])]
+    rows = [*enumerate(texts), (1000, words(rng, 40)), (None, texts[0]), (None, texts[0])]
+    pairs, real = [], jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df: pairs.append(real(df)) or pairs[-1])
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sure = [x for x in pairs if "sure" in x.columns]
+    assert len(sure) == 1 and sure[0].filter("sure").count() > 50
+    want = linked([(i if i is not None else 5000 + k, t) for k, (i, t) in enumerate(rows)])
+    assert {r.doc_id: (r.n_shingles, r.n_similar, r.component_id) for r in got if r.doc_id is not None} == {i: v for i, v in want.items() if i < 5000}
+    assert [(r.n_similar, r.component_id) for r in got if r.doc_id is None] == [(want[i][1], want[i][2]) for i in want if i >= 5000]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(1000, 1040)]
@@ -350,7 +375,7 @@ def test_packing_moves_few_pieces_on(spark, monkeypatch):
 
     def watch(df):
         out = real(df)
-        if "shard" in out.columns:
+        if "sequence_id" in out.columns:
             moved = out.filter("sequence_id is null")
             groups.append([max([r["count"] for r in x.groupBy("shard").count().collect()], default=0) for x in (out, moved)])
         return out
@@ -368,6 +393,22 @@ def test_packing_moves_few_pieces_on(spark, monkeypatch):
     assert len(seqs) == 18_000  # no two of the long pieces fit, and the short ones fill gaps
 
 
+def test_islands_are_rows_and_pass_their_elites_on(spark, monkeypatch):
+    rng = random.Random(3)
+    lengths = [rng.choice([200, 310, 340, 350, 500, 512, 513]) for _ in range(300)]
+    shards = spark.createDataFrame([(s, n, m) for s in (5, 6) for n, m in collections.Counter(lengths).items()], "shard long, length int, n long")
+    seen, real = [], packing.materialise
+    monkeypatch.setattr(packing, "materialise", lambda df: seen.append(real(df)) or seen[-1])
+    got = {r.shard: packing.from_bytes(bytes(r.genome)) for r in packing.archipelago(shards, 1024, 0, islands=3).collect()}
+    assert set(got) == {5, 6} and all(sorted(x for b in g for x in b) == sorted(lengths) and max(map(sum, g)) <= 1024 for g in got.values())
+    assert [x.count() for x in seen] == [6, 6]
+    first, last = ({(r.shard, r.island): r for r in x.collect()} for x in seen)
+    for (s, k), r in last.items():  # an island does no worse than what it was sent
+        sent = first[s, (k - 1) % 3]
+        assert (r.n_bins, r.waste) <= (sent.n_bins, sent.waste)
+    assert all(len(g) == min(r.n_bins for (s, _), r in last.items() if s == shard) for shard, g in got.items())
+
+
 def test_evolution_beats_or_equals_best_fit():
     rng = random.Random(6)
     for _ in range(5):

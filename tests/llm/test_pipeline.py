@@ -84,3 +84,26 @@ def test_stages_equal_brute_force(spark, tmp_path):
         docs = spark.createDataFrame([*rows.items()], "doc_id long, text string")
     packed = P.STAGES[-1][1](spark, docs, f"file://{tmp_path}").collect()
     assert {r.doc_id for r in packed} == set(rows)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing names, empty tables."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet", "Ä"]) + str(rng.randint(0, 999)) for _ in range(n))
+    a, item = text(60), text(20)
+    rows = [(1, a), (1, a), (2, a + " "), (3, a), (None, a), (None, None), (4, None), (5, ""), (6, " \n"), (7, a + " tail"), (8, text(40_000)), (9, f"{text(9)} {item} {text(9)}"), (9, text(30)), (10, "x"), (11, "ß" * 5000)]
+    schema = "doc_id long, text string, n long, k1 string, split string, shard int, __gone long, owner string, sketch string"
+    wide = lambda some: spark.createDataFrame([(i, t, None, "k", None, 1, 2, None, "s") for i, t in some], schema)
+    spark.createDataFrame([(1, 0), (8, None), (None, 1)], "doc_id long, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, ""), (1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    stages = dict(P.STAGES)
+    ids = lambda df: sorted((r.doc_id for r in df.select("doc_id").collect()), key=lambda i: (i is None, i or 0))
+    everything = ids(wide(rows))
+    want = {"toxicity": everything, "exact_dedup": [2, 7, 8, 9, 9, 10, 11, 6, None, None], "jaccard_join": [1, 1, 4, 5, 6, 8, 9, 9, 10, 11, None, None], "decontamination": [1, 1, 2, 3, 4, 5, 6, 7, 8, 10, 11, None, None]}
+    for name, kept in want.items():
+        out = stages[name](spark, wide(rows), f"file://{tmp_path}")
+        assert out.columns == wide(rows).columns and ids(out) == sorted(kept, key=lambda i: (i is None, i or 0)), name
+        assert stages[name](spark, wide([]), f"file://{tmp_path}").count() == 0
+    packed = stages["packing"](spark, wide(rows), f"file://{tmp_path}")
+    assert ids(packed.filter("piece = 0")) == everything
+    assert stages["packing"](spark, wide([]), f"file://{tmp_path}").count() == 0
