@@ -72,6 +72,7 @@ class Passages:
                 self.item.append(i)
                 self.at.append(s)
                 self.text.append(b[s : s + PASSAGE])
+        self.size = np.array([len(t) for t in self.text], np.int64)
         self.edits = np.array([budget(len(t)) for t in self.text], np.int64)
         self.bound = np.array([len(t) - Q + 1 - Q * e for t, e in zip(self.text, self.edits)], np.int64)
         g = [grams(t) for t in self.text]
@@ -87,13 +88,14 @@ class Passages:
 
 
 def align(p: np.ndarray, regions: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fewest edits between p and a part of each region, with the end of that part, inside a band of width + 1 diagonals.
+    """Fewest edits between each column of p and a part of its region, with the end of that part, inside a band of width + 1
+    diagonals.
 
-    Regions are columns of len(p) + width bytes; bytes outside their text are 0, which squeezed text doesn't hold, so that letters of p
+    Regions are columns too, width bytes longer; bytes outside their text are 0, which squeezed text doesn't hold, so that letters of p
     aligned there cost an edit each, as if they were left out.
     """
     d = np.zeros((width + 1, regions.shape[1]), np.int8)
-    for i, x in enumerate(p.tolist()):
+    for i, x in enumerate(p):
         new = d + (regions[i : i + width + 1] != x)
         np.minimum(new[:-1], d[1:] + np.int8(1), out=new[:-1])
         by = 1
@@ -168,17 +170,20 @@ def long_items(b: np.ndarray, off: np.ndarray, back: np.ndarray, raw_off: np.nda
     after = np.minimum(np.searchsorted(key, key + kinds), len(key) - 1)
     both = count + np.where(key[after] == key + kinds, count[after], 0)
     full = key[both >= np.maximum(P.bound[key % kinds], 1)]
-    for p in np.unique(full % kinds).tolist():
-        mine = full[full % kinds == p] // kinds
-        e, m = int(P.edits[p]), len(P.text[p])
+    who, cell = full % kinds, full // kinds
+    sizes = P.size[who]
+    for m in np.unique(sizes).tolist():
+        same = np.flatnonzero(sizes == m)
+        e = budget(m)
         band = 2 * (e + 1) + 2 * e
-        for some in (mine[i : i + REGIONS] for i in range(0, len(mine), REGIONS)):
-            d = some // width
-            lo = some % width * (e + 1) - PASSAGE - e
+        for some in (same[i : i + REGIONS] for i in range(0, len(same), REGIONS)):
+            d = cell[some] // width
+            lo = cell[some] % width * (e + 1) - PASSAGE - e
             at = lo[None, :] + np.arange(m + band)[:, None]
             inside = (at >= off[d]) & (at < off[d + 1])
-            edits, end = align(P.text[p], np.where(inside, b[np.clip(at, 0, len(b) - 1)], np.uint8(0)), band)
+            edits, end = align(np.stack([P.text[p] for p in who[some].tolist()], axis=1), np.where(inside, b[np.clip(at, 0, len(b) - 1)], np.uint8(0)), band)
             for j in np.flatnonzero(edits <= e).tolist():
+                p = int(who[some[j]])
                 last = int(min(lo[j] + end[j], off[d[j] + 1]))
                 first = int(max(last - m - e, off[d[j]]))
                 f = found.setdefault((int(d[j]), P.item[p]), [set(), 10**9, 10**18, -1])
@@ -188,6 +193,7 @@ def long_items(b: np.ndarray, off: np.ndarray, back: np.ndarray, raw_off: np.nda
                 f[3] = max(f[3], int(back[last - 1] + 1 - raw_off[d[j]]))
 
 
+
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_passages, edits, start, end: a row for each document and item whose passage it holds.
 
