@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 WS = " \t\n\x0b\x0c\r"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 # --- scratch space and shipping -------------------------------------------------------------------------------------
@@ -124,10 +126,20 @@ def tidy(keep_tokens: bool = False) -> None:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keep_tokens: bool = False) -> DataFrame:
-    ship(df.sparkSession)
+    """mapInArrow that ships this package, bounds batches by their bytes (BATCH_BYTES, unless the session says otherwise), since
+    10,000 long texts at once would fill an executor, and leaves the worker without what the task held.
+
+    Don't chain two in one stage: each would take a worker of its own.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
     def run(batches):
-        tidy(keep_tokens)
+        tokens = sys.modules.get(__package__ + ".tokens")
+        if tokens is not None and not keep_tokens:
+            tokens.forget()
         yield from fn(batches)
         del batches
         tidy(keep_tokens)

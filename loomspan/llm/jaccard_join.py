@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_map, base_of, bitmap, components, filter_by, in_bitmap, join_groups, materialise, mix, shingle_hashes, slices, utf8, words
+from .common import U64, arrow_map, base_of, bitmap, components, in_bitmap, join_groups, materialise, mix, shingle_hashes, slices, utf8, where, words
 
 K = 5
 SHARED = 8
@@ -313,16 +313,17 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
     open_pairs = materialise(arrow_map(rough.select("a1", "a2", "b1", "b2", "n_a", "sketch_a", "n_b", "sketch_b"), not_ruled_out, "a1 long, a2 long, b1 long, b2 long"))
     ends = open_pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(open_pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct()
     need = materialise(classes.join(ends, ["k1", "k2"]).select("k1", "k2", "rep"))
-    near = filter_by(src, "doc_id", bitmap(need, "rep"))
+    near = bitmap(need, "rep")
 
     def whole_sets(batches):
         for batch in batches:
+            batch = where(batch, in_bitmap(near, batch.column(0).to_numpy(zero_copy_only=False)))
             for b in slices(batch):
                 sh, off = doc_sets(b.column(1), k)
                 k1, k2 = set_keys(sh, off)
                 yield pa.record_batch([pa.array(k1), pa.array(k2), b.column(0), pa.array([sh[off[i] : off[i + 1]].tobytes() for i in range(len(k1))], pa.binary())], ["k1", "k2", "rep", "set"])
 
-    sets = arrow_map(near, whole_sets, "k1 long, k2 long, rep long, set binary").join(need, ["k1", "k2", "rep"], "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", "set")
+    sets = arrow_map(src, whole_sets, "k1 long, k2 long, rep long, set binary").join(need, ["k1", "k2", "rep"], "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", "set")
     sets = materialise(sets)
     joined = open_pairs.join(sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("set").alias("x")), ["a1", "a2"]).join(sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("set").alias("y")), ["b1", "b2"])
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, U64, arrow_map, base_of, bitmap, filter_by, in_bitmap, materialise, mix, powers, scratch, slices, utf8
+from .common import _BYTE, U64, arrow_map, base_of, bitmap, filter_by, in_bitmap, materialise, mix, powers, scratch, slices, utf8, where
 from .induced import repeats
 
 WIDTH, GRAM = 100, 20
@@ -69,7 +69,8 @@ def contexts(data: np.ndarray, off: np.ndarray, hot: bytes | None, width: int =
     first, second = _prefix(data, _P), _prefix(data, _R)
     at = np.arange(len(data) - gram + 1)
     h = mix(_hash(first, _P, at, at + gram))
-    assert len(h) < 1 << 28, "a text of more than 256 MB"
+    if len(h) >= 1 << 28:
+        raise ValueError("texts of more than 256 MB aren't supported")
     key = (h >> U64(28) << U64(28)) | (U64((1 << 28) - 1) - at.astype(U64))
     w = width - gram + 1
     blocks = -(-len(key) // w) + 1
@@ -301,7 +302,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame, with_kept: bool = False) -> Dat
     bits = bitmap(spans, "doc")
     lists = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "len")).alias("spans"))
     some = filter_by(docs, "doc_id", bits).join(lists, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")
-    return arrow_map(some, finish, schema).unionByName(arrow_map(filter_by(docs, "doc_id", bits, present=False), finish, schema))
+    return arrow_map(some, finish, schema).unionByName(arrow_map(docs, lambda batches: finish(where(b, ~in_bitmap(bits, b.column(0).to_numpy(zero_copy_only=False))) for b in batches), schema))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
