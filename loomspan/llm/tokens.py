@@ -1,7 +1,8 @@
 """Token ids of whole texts with the tokenizers library, remembered by chunk.
 
 Both public vocabularies cut a text at white space before they merge, so the ids of a text are those of its chunks in
-turn. Each worker keeps the ids of chunks it has seen (bounded), and only new chunks go through the library. Texts for
+turn. Each worker keeps the ids of chunks it has seen, and only new chunks go through the library. What it keeps is bounded: when
+a cache is full it becomes the old one, and what is met again moves on from there to the new one. Texts for
 which the cut isn't certain (special tokens' strings, rare scripts, unusual white space) are encoded whole.
 """
 
@@ -16,7 +17,7 @@ from array import array
 import numpy as np
 import regex
 
-CACHE_ENTRIES, PART_ENTRIES, CHUNK_CHARS = 700_000, 500_000, 48
+CACHE_ENTRIES, PART_ENTRIES, CHUNK_CHARS = 180_000, 140_000, 48
 _UNSURE = re.compile("[^\x00-\x1b\x20-˿Ͱ-΢Τ-ԯ‐-‧‰-⁞₠-₿ぁ-ゖァ-ヺ一-鿿가-힣]")
 #: How the two shapes cut a chunk further, as their configuration files say.
 PRETOKENS = {
@@ -60,6 +61,8 @@ class Encoder:
         self.special = [x["content"] for x in config.get("added_tokens") or []]
         self.seen: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_seen: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
         self.pattern = regex.compile(PRETOKENS[self.shape]) if self.shape else None
 
     def whole(self, text: str) -> bytes:
@@ -69,17 +72,23 @@ class Encoder:
         """Adds unseen chunks; long ones are returned and not kept. A chunk is the sum of its pretokens, and only pretokens
         that weren't seen either go through the library's model (the steps before it have no more to do then)."""
         if len(self.seen) + len(chunks) > CACHE_ENTRIES:
-            self.seen.clear()
+            self.old_seen, self.seen = self.seen, {}
         if len(self.parts) > PART_ENTRIES:
-            self.parts.clear()
+            self.old_parts, self.parts = self.parts, {}
         prefix = " " if self.shape == "bytes" else ""
         parts, seen, find, merge = self.parts, self.seen, self.pattern.findall, self.model.tokenize
+        old_parts, old_seen = self.old_parts, self.old_seen
         once = {}
         for c in chunks:
+            if (ids := old_seen.get(c)) is not None:
+                seen[c] = ids
+                continue
             out = []
             for p in find(prefix + c):
                 ids = parts.get(p)
-                if ids is None:
+                if ids is None and (ids := old_parts.get(p)) is not None:
+                    parts[p] = ids
+                elif ids is None:
                     ids = array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(_AS_TEXT))]).tobytes()
                     if len(p) <= CHUNK_CHARS:
                         parts[p] = ids
@@ -138,7 +147,7 @@ def encoder(path: str) -> Encoder:
 def forget() -> None:
     """Empties the caches; the next text fills them again."""
     for e in _ENCODERS.values():
-        e.seen, e.parts = {}, {}
+        e.seen, e.parts, e.old_seen, e.old_parts = {}, {}, {}, {}
 
 
 def vocabulary(name: str) -> str:
