@@ -9,9 +9,10 @@ from .sources import mentions as mention_json
 from .sources.corpus import annotate
 
 LINES = """
-l AS (SELECT doc_id, lang, source, n_chars, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS sent_id FROM documents),
+l0 AS (SELECT doc_id, lang, source, n_chars, string_split(regexp_replace(text, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, lang, source, n_chars, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS sent_id FROM l0),
 s AS (SELECT * EXCLUDE (line), list_filter(string_split(line, ' '), lambda t: t <> '') AS toks FROM l),
-t AS (SELECT doc_id, lang, source, n_chars, sent_id, len(toks) AS n, toks, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos FROM s WHERE len(toks) BETWEEN 1 AND 100),
+t AS (SELECT doc_id, lang, source, n_chars, sent_id, len(toks) AS n, toks, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos FROM s WHERE len(toks) > 0),
 w AS (SELECT *, CASE WHEN regexp_full_match(tok, '[0-9][0-9.,]*') THEN 'NUM' WHEN regexp_matches(tok, '^[A-Z]') THEN 'CAP' WHEN regexp_full_match(tok, '[^A-Za-z0-9\\x{80}-\\x{FFFF}]+') THEN 'PUNCT' ELSE 'W' END AS tag FROM t),
 x AS (SELECT *, lead(tok) OVER p AS tok1, lead(tok, 2) OVER p AS tok2, lag(tok) OVER p AS tokb, lead(tag) OVER p AS tag1, lead(tag, 2) OVER p AS tag2, lag(tag) OVER p AS tagb FROM w WINDOW p AS (PARTITION BY doc_id, sent_id ORDER BY pos))
 """
@@ -196,13 +197,13 @@ def nested(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     one = F.struct(F.lit("turn").alias("name"), F.create_map(F.lit("role"), F.array(F.array("role"))).alias("text_fields"), F.create_map(F.lit("number"), F.array(F.col("turn").cast("double"))).alias("num_fields"))
     docs = c.groupBy("conv_id").agg(F.collect_list(one).alias("nested")).select(F.col("conv_id").alias("doc_key"), F.create_map().cast("map<string,array<array<string>>>").alias("text_fields"), F.create_map().cast("map<string,array<double>>").alias("num_fields"), "nested")
-    s = c.select(F.col("conv_id").alias("doc_key"), F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("sent_id"), F.filter(F.split("text", r"[ \n]"), lambda t: t != "").alias("raw")).withColumn("num_tokens", F.size("raw")).filter("num_tokens between 1 and 100")
+    s = c.select(F.col("conv_id").alias("doc_key"), F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("sent_id"), F.filter(F.split("text", r"[ \n]"), lambda t: t != "").alias("raw")).withColumn("num_tokens", F.size("raw")).filter("num_tokens > 0")
     m = Engine(s, docs).query("<s> []", filter="turn{role == 'assistant' && number >= 3}")
     return m.select(F.col("doc_id").cast("long").alias("conv_id"), "sent_id", F.col("end").alias("e"))
 
 
 QUERIES["filter_nested"] = nested
-SQL["filter_nested"] = r"""SELECT conv_id, turn AS sent_id, 1 AS e FROM (SELECT *, len(list_filter(string_split_regex(text, '[ \n]'), lambda t: t <> '')) AS n FROM conversations) WHERE n BETWEEN 1 AND 100
+SQL["filter_nested"] = r"""SELECT conv_id, turn AS sent_id, 1 AS e FROM (SELECT *, len(list_filter(string_split_regex(text, '[ \n]'), lambda t: t <> '')) AS n FROM conversations) WHERE n > 0
 AND conv_id IN (SELECT conv_id FROM conversations WHERE role = 'assistant' AND turn >= 3)"""
 
 

@@ -159,16 +159,19 @@ def tag_of(t: Column) -> Column:
     return F.when(t.rlike(r"^[0-9][0-9.,]*$"), "NUM").when(t.rlike("^[A-Z]"), "CAP").when(t.rlike(r"^[^A-Za-z0-9\u0080-￿]+$"), "PUNCT").otherwise("W")
 
 
-def annotate(docs: DataFrame, key: Column, doc_id: Column, text: Column, max_tokens: int = MAX_TOKENS, graph: bool = True) -> DataFrame:
-    """Sentences of plain text: a line each, tokens apart by spaces, with rule-made layers.
+def annotate(docs: DataFrame, key: Column, doc_id: Column, text: Column, max_tokens: int | None = None, graph: bool = True) -> DataFrame:
+    """Sentences of plain text, tokens apart by spaces, with rule-made layers. A sentence ends with its line, or with a full stop,
+    exclamation or question mark before a space. max_tokens leaves longer sentences out; by default none are.
 
     tag by form, chunk B/I over runs of capitalised tokens, entity O, lemma lower-cased; edges next (i to i + 1), head
     (0 to each other token) and mod (a token to a capitalised one right behind it). Native but for norm, which is only
     computed where it is asked for.
     """
-    lines = docs.select(key.alias("doc_key"), doc_id.cast("string").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("sent_id", "line"))
+    lines = docs.select(key.alias("doc_key"), doc_id.cast("string").alias("doc_id"), F.posexplode(F.split(F.regexp_replace(text, "([.!?]) ", "$1\n"), "\n")).alias("sent_id", "line"))
     s = lines.select("doc_key", "doc_id", "sent_id", F.filter(F.split("line", " "), lambda t: t != "").alias("raw"))
-    s = s.withColumn("num_tokens", F.size("raw")).filter((F.col("num_tokens") > 0) & (F.col("num_tokens") <= max_tokens))
+    s = s.withColumn("num_tokens", F.size("raw")).filter(F.col("num_tokens") > 0)
+    if max_tokens is not None:
+        s = s.filter(F.col("num_tokens") <= max_tokens)
     # a generator between them keeps the optimiser from copying these arrays into expressions that look at each position
     s = s.select("doc_key", "doc_id", "sent_id", "num_tokens", F.explode(F.array(F.struct("raw", F.transform("raw", tag_of).alias("tag")))).alias("x")).select("doc_key", "doc_id", "sent_id", "num_tokens", "x.raw", "x.tag")
     s = s.withColumn("word", F.col("raw")).withColumn("lemma", F.transform("raw", F.lower)).withColumn("entity", F.transform("raw", lambda t: F.lit("O")))
