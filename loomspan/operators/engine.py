@@ -255,7 +255,7 @@ def cascade(rules: list[tuple[Rule, bool]], s: M.Sentence, use_state: bool, trig
             for m in fresh:
                 state[m[0]] = [*state.get(m[0], ()), (m[1], m[2], m[3])]
             s.state = state
-            s.memo = {k: v for k, v in s.memo.items() if k[0] not in ("surface",)}
+            s.memo = {k: v for k, v in s.memo.items() if k[0] not in ("surface", "cover")}
 
 
 @dataclass
