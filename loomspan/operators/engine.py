@@ -317,11 +317,17 @@ class Engine:
         top = mentions.select("doc_key", "sent_id").distinct().orderBy("doc_key", "sent_id").limit(n)
         return mentions.join(F.broadcast(top) if n <= 100_000 else top, ["doc_key", "sent_id"], "left_semi").select(mentions.columns)
 
-    def extract(self, rules: list[Rule] | str, filter=None, state: DataFrame | None = None, use_state: bool = True, trigger_overlap: bool = False, compat: bool = False) -> DataFrame:
-        """Mentions of a grammar. use_state=False ignores priorities and doesn't build on mentions found here."""
+    def total_hits(self, pattern, filter=None, **k) -> DataFrame:
+        """One row: in how many sentences a pattern is found, and how often."""
+        return self.query(pattern, filter, **k).agg(F.countDistinct("doc_key", "sent_id").alias("sentences"), F.count("*").alias("mentions"))
+
+    def extract(self, rules: list[Rule] | str, filter=None, state: DataFrame | None = None, use_state: bool = True, trigger_overlap: bool = False, compat: bool = False, limit: int | None = None) -> DataFrame:
+        """Mentions of a grammar. use_state=False ignores priorities and doesn't build on mentions found here; limit: those of
+        that many sentences, in order."""
         if isinstance(rules, str):
             rules = self.rules(rules)
-        return self._run(self._filtered(filter), rules, state, use_state, trigger_overlap, False, compat)
+        out = self._run(self._filtered(filter), rules, state, use_state, trigger_overlap, False, compat)
+        return out if limit is None else self.first(out, limit)
 
     def _native(self, rows: DataFrame, preds: list[tuple], all_matches: bool, label, name) -> DataFrame:
         k = len(preds)

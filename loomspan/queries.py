@@ -219,3 +219,73 @@ def event_sequences(spark, sf_dir):
 QUERIES["event_sequences"] = event_sequences
 SQL["event_sequences"] = """WITH e AS (SELECT user_id, CAST(ts AS DATE) - DATE '1970-01-01' AS day, event_type, lead(event_type) OVER w AS following, row_number() OVER w - 1 AS s FROM events WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id))
 SELECT user_id, day, s FROM e WHERE event_type = 'click' AND following = 'purchase'"""
+
+
+# --- more of the language -------------------------------------------------------------------------------------------
+
+register("token_default_regex", "/th.*/", rows(f"regexp_full_match({NORM}, 'th.*')"))
+register("token_default_fuzzy", "thre~", rows(f"damerau_levenshtein(regexp_replace({NORM}, '[^\\x00-\\x7F]', '#', 'g'), 'thre') <= 2"))
+register("edge_incoming_wildcard", "[raw=the] << []", NEXT.replace("@ON@", "a.tok = 'the' AND a.pos > 0 AND (b.pos = a.pos - 1 OR b.pos = 0)"))
+register("edge_unknown_label", "[raw=the] >nowhere []", rows("false"))
+register("repetition_exact", "[tag=CAP]{2}", RUNS.replace("@SIZE@", "2") + " HAVING count(*) = 2")
+FIRST = f"WITH {LINES}, f AS (SELECT DISTINCT doc_id, sent_id FROM x WHERE tok = 'the'@AFTER@ ORDER BY doc_id, sent_id LIMIT 40) SELECT x.doc_id, x.sent_id, pos AS s, pos + 1 AS e FROM x JOIN f ON x.doc_id = f.doc_id AND x.sent_id = f.sent_id WHERE tok = 'the'"
+register("first_sentences", "[raw=the]", FIRST.replace("@AFTER@", ""), limit=40)
+register("next_page", "[raw=the]", FIRST.replace("@AFTER@", " AND (doc_id > 20 OR doc_id = 20 AND sent_id > 3)"), limit=40, after=(20, 3))
+
+
+def grammar(name: str, text: str, sql: str, **k) -> None:
+    """A grammar's mentions: label, span and the token of the first argument."""
+
+    def run(spark, sf_dir):
+        e = documents(spark, sf_dir)
+        m = e.extract(e.rules(text, k.get("variables")), use_state=k.get("use_state", True))
+        return m.select(F.col("doc_id").cast("long").alias("doc_id"), "sent_id", "label", F.col("start").alias("s"), F.col("end").alias("e"), F.size("caps").alias("n_args"), F.get(F.col("caps"), 0)["s"].alias("arg"))
+
+    QUERIES[name] = run
+    SQL[name] = f"WITH {LINES} {sql}"
+
+
+BASIC = "SELECT doc_id, sent_id, '{}' AS label, pos AS s, pos + 1 AS e, 0 AS n_args, NULL AS arg FROM x WHERE {}"
+EVENTS = "SELECT doc_id, sent_id, 'Ev' AS label, pos AS s, pos + 1 AS e, {} AS n_args, {} AS arg FROM x WHERE {}"
+WITH_TRIGGER = "rules: [{name: ev, type: event, label: Ev, pattern: 'trigger = [raw=the] @ARGS@'}]"
+grammar("cascade_without_state", CASCADE, BASIC.format("Det", "tok IN ('the', 'of')"), use_state=False)
+grammar("grammar_variables", CASCADE.replace("priority: 2", "priority: 9"), ", d AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS g FROM x WHERE tok = 'of'), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id, g ORDER BY pos) AS r FROM d), p AS (SELECT * FROM k WHERE r % 2 = 1 AND tag1 = 'W') SELECT doc_id, sent_id, 'Det' AS label, pos AS s, pos + 1 AS e, 0 AS n_args, NULL AS arg FROM d UNION ALL SELECT doc_id, sent_id, 'Phrase', pos, pos + 2, 0, NULL FROM p UNION ALL SELECT doc_id, sent_id, 'End', pos, pos + 2, 0, NULL FROM p WHERE pos + 2 = n", variables={"words": "of"})
+grammar("grammar_filters", "metadataFilters: \"lang == 'en'\"\nrules: [{name: det, type: basic, label: Det, pattern: '[raw=the]'}]", BASIC.format("Det", "tok = 'the' AND lang = 'en'"))
+grammar("event_half_step", WITH_TRIGGER.replace("@ARGS@", "object = >next"), EVENTS.format("1", "pos + 1", "tok = 'the' AND tok1 IS NOT NULL") + " UNION ALL SELECT doc_id, sent_id, NULL, pos + 1, pos + 2, 0, NULL FROM x WHERE tok = 'the' AND tok1 IS NOT NULL")
+grammar("event_existing_mention", "rules: [{name: cap, type: basic, label: Cap, pattern: '[tag=CAP]'}, {name: ev, type: event, label: Ev, priority: 2, pattern: 'trigger = [raw=the] name: Cap = >next'}]", EVENTS.format("1", "pos + 1", "tok = 'the' AND tag1 = 'CAP'") + " UNION ALL " + BASIC.format("Cap", "tag = 'CAP'"))
+grammar("event_all_in_one", WITH_TRIGGER.replace("@ARGS@", "near: Near+ = (>next | <next) []").replace("Near+", "^Near+"), EVENTS.format("(pos > 0)::int + (pos < n - 1)::int", "CASE WHEN pos > 0 THEN pos - 1 ELSE pos + 1 END", "tok = 'the' AND n > 1") + " UNION ALL SELECT DISTINCT a.doc_id, a.sent_id, 'Near', b.pos, b.pos + 1, 0, NULL FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND abs(a.pos - b.pos) = 1 WHERE a.tok = 'the'")
+grammar("event_one_each", WITH_TRIGGER.replace("@ARGS@", "near: ^Near = (>next | <next) []"), EVENTS.format("1", "pos - 1", "tok = 'the' AND pos > 0") + " UNION ALL " + EVENTS.format("1", "pos + 1", "tok = 'the' AND pos < n - 1") + " UNION ALL SELECT DISTINCT a.doc_id, a.sent_id, 'Near', b.pos, b.pos + 1, 0, NULL FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND abs(a.pos - b.pos) = 1 WHERE a.tok = 'the'")
+grammar("event_trigger_overlap", WITH_TRIGGER.replace("@ARGS@", "near: ^Near = >next? []"), EVENTS.format("1", "pos + 1", "tok = 'the' AND pos < n - 1") + " UNION ALL SELECT DISTINCT doc_id, sent_id, 'Near', pos + 1, pos + 2, 0, NULL FROM x WHERE tok = 'the' AND pos < n - 1")
+
+
+def total_hits(spark, sf_dir):
+    return documents(spark, sf_dir).total_hits("[raw=of] [raw=the]")
+
+
+QUERIES["total_hits"] = total_hits
+SQL["total_hits"] = f"WITH {LINES} SELECT count(DISTINCT (doc_id, sent_id)) AS sentences, count(*) AS mentions FROM x WHERE tok = 'of' AND tok1 = 'the'"
+
+
+def mention_union(spark, sf_dir):
+    e = documents(spark, sf_dir)
+    m = e.query("[raw=of]", label="Of").unionByName(e.query("[raw=the]", label="The"))
+    return m.select(F.col("doc_id").cast("long").alias("doc_id"), "sent_id", F.col("start").alias("s"), "label")
+
+
+QUERIES["mention_union"] = mention_union
+SQL["mention_union"] = f"WITH {LINES} SELECT doc_id, sent_id, pos AS s, CASE tok WHEN 'of' THEN 'Of' ELSE 'The' END AS label FROM x WHERE tok IN ('of', 'the')"
+
+
+def dates(spark, sf_dir):
+    """Orders as documents with a date, their priority as the sentence."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    day = F.to_date("o_orderdate")
+    num = F.create_map(F.lit("date"), F.array(F.unix_date(day).cast("double")), F.lit("date.year"), F.array(F.year(day).cast("double")))
+    docs = o.select(F.col("o_orderkey").alias("doc_key"), F.create_map().cast("map<string,array<array<string>>>").alias("text_fields"), num.alias("num_fields"), F.array().cast("array<struct<name:string,text_fields:map<string,array<array<string>>>,num_fields:map<string,array<double>>>>").alias("nested"))
+    s = o.select(F.col("o_orderkey").alias("doc_key"), F.col("o_orderkey").cast("string").alias("doc_id"), F.lit(0).alias("sent_id"), F.array("o_orderpriority").alias("raw"), F.lit(1).alias("num_tokens"))
+    m = Engine(s, docs).query("[raw=/1-.*/]", filter="date > date(1995, 02, 01) && date.year < 1997")
+    return m.select(F.col("doc_key").alias("o_orderkey"), F.col("start").alias("s"))
+
+
+QUERIES["filter_dates"] = dates
+SQL["filter_dates"] = "SELECT o_orderkey, 0 AS s FROM orders WHERE o_orderpriority LIKE '1-%' AND CAST(o_orderdate AS DATE) > DATE '1995-02-01' AND year(CAST(o_orderdate AS DATE)) < 1997"

@@ -127,6 +127,32 @@ def docs_of(documents: DataFrame) -> DataFrame:
     return documents.filter("error is null").drop("sentences", "error")
 
 
+def to_json(documents: DataFrame) -> DataFrame:
+    """Documents as JSON again, one object in value for each; what parse_documents reads from it equals what was written.
+
+    Dates are written as the numbers that they are kept as.
+    """
+
+    def fields(text, num) -> list[dict]:
+        out = [{"$type": "TokensField", "name": k, "tokens": v} for k, vs in text for v in vs]
+        return out + [{"$type": "NumberField", "name": k, "value": v} for k, vs in num for v in vs]
+
+    def write(batches):
+        for b in batches:
+            values = []
+            for r in b.to_pylist():
+                meta = fields(r["text_fields"], r["num_fields"]) + [{"$type": "NestedField", "name": x["name"], "fields": fields(x["text_fields"], x["num_fields"])} for x in r["nested"]]
+                sentences = []
+                for s in r["sentences"]:
+                    layers = [{"$type": "TokensField", "name": x, "tokens": s[x]} for x in LAYERS if s[x] is not None]
+                    graph = {"$type": "GraphField", "name": "dependencies", "edges": [[e["src"], e["dst"], e["label"]] for e in s["edges"]], "roots": s["roots"]}
+                    sentences.append({"numTokens": s["num_tokens"], "fields": [*layers, graph]})
+                values.append(json.dumps({"id": r["doc_id"], "metadata": meta, "sentences": sentences}, ensure_ascii=False))
+            yield pa.record_batch([pa.array(values, pa.string())], ["value"])
+
+    return documents.filter("error is null").mapInArrow(write, "value string")
+
+
 def add_metadata(documents: DataFrame, companions: DataFrame, replace: bool = False) -> DataFrame:
     """JSON documents (doc_id, value) with the fields of companion files (docId, fields as JSON) appended, or put in place of theirs."""
     by = companions.groupBy(F.col("docId").alias("doc_id")).agg(F.collect_list("fields").alias("more"))

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from helpers import BECKY, JOHN, document, engine, sentence, spans, tokens
+from helpers import BECKY, JOHN, JULIO, document, engine, sentence, spans, tokens
 
 from loomspan.sources import corpus, mentions
 from loomspan.sources.index import Index
@@ -73,3 +73,25 @@ def test_add_metadata(spark):
     names = lambda replace: {r.doc_id: [f["name"] for f in json.loads(r.value)["metadata"]] for r in corpus.add_metadata(docs, more, replace).collect()}
     assert sorted(names(False)["a"]) == ["x", "y", "z"] and names(False)["b"] == []
     assert sorted(names(True)["a"]) == ["y", "z"]
+
+
+def test_documents_are_written_and_read_again(spark):
+    meta = [{"$type": "x.TokensField", "name": "show", "tokens": ["Twin", "Peaks"]}, {"$type": "x.NumberField", "name": "n", "value": 3}, {"$type": "x.DateField", "name": "day", "date": "2001-02-03"}, {"$type": "x.NestedField", "name": "author", "fields": [{"$type": "x.TokensField", "name": "last", "tokens": ["Lynch"]}]}]
+    one = corpus.from_strings(spark, [document("a", BECKY, JOHN, metadata=meta), document("b", JULIO)])
+    again = corpus.from_strings(spark, [r.value for r in corpus.to_json(one).collect()])
+    assert [r.asDict(True) for r in again.orderBy("doc_key").collect()] == [r.asDict(True) for r in one.orderBy("doc_key").collect()]
+
+
+def test_state_is_kept(spark, tmp_path):
+    from loomspan.sources.state import State
+
+    e = engine(spark, document("a", BECKY), document("b", JOHN))
+    with State(spark, f"{tmp_path}/s") as state:
+        assert state.all().count() == 0
+        for _ in range(2):
+            state.add(e.query("[tag=NNP]", label="Name"))
+        assert state.all().count() == 2 == state.get("Name").count() and state.get("Name", 0, 0).count() == 1 and state.get("X").count() == 0
+        assert sorted((r.start, r.end) for r in e.query("@Name [lemma=eat]", state=state.all()).collect()) == [(0, 2), (0, 2)]
+        state.clear()
+        assert state.all().count() == 0
+    assert e.extract("rules: [{name: n, type: basic, label: N, pattern: '[tag=NNP]'}]", limit=1).count() == 1
