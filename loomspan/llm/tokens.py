@@ -83,17 +83,23 @@ class Encoder:
             if (ids := old_seen.get(c)) is not None:
                 seen[c] = ids
                 continue
-            out = []
-            for p in find(prefix + c):
-                ids = parts.get(p)
-                if ids is None and (ids := old_parts.get(p)) is not None:
-                    parts[p] = ids
-                elif ids is None:
-                    ids = array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(_AS_TEXT))]).tobytes()
-                    if len(p) <= CHUNK_CHARS:
-                        parts[p] = ids
-                out.append(ids)
-            (seen if len(c) <= CHUNK_CHARS else once)[c] = out[0] if len(out) == 1 else b"".join(out)
+            pieces = find(prefix + c)
+            if len(pieces) == 1:  # kept as a chunk, so not as a pretoken too
+                p = pieces[0]
+                ids = parts.get(p) or old_parts.get(p) or array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(_AS_TEXT))]).tobytes()
+            else:
+                out = []
+                for p in pieces:
+                    ids = parts.get(p)
+                    if ids is None:
+                        ids = old_parts.get(p) or (seen.get(p[len(prefix) :]) if p.startswith(prefix) else None)
+                        if ids is None:
+                            ids = array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(_AS_TEXT))]).tobytes()
+                        if len(p) <= CHUNK_CHARS:
+                            parts[p] = ids
+                    out.append(ids)
+                ids = b"".join(out)
+            (seen if len(c) <= CHUNK_CHARS else once)[c] = ids
         return once
 
     def _know(self, need: set[str]) -> dict[str, bytes]:
