@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 import regex
 
-CACHE_ENTRIES, PART_ENTRIES, CHUNK_CHARS = 180_000, 140_000, 48
+CACHE_ENTRIES, PART_ENTRIES, CHUNK_CHARS = 300_000, 80_000, 48
 _UNSURE = re.compile("[^\x00-\x1b\x20-˿Ͱ-΢Τ-ԯ‐-‧‰-⁞₠-₿ぁ-ゖァ-ヺ一-鿿가-힣]")
 #: How the two shapes cut a chunk further, as their configuration files say.
 PRETOKENS = {
