@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, base_of, slices
+from .common import arrow_map, base_of, slices, tidy
 
 WINDOW, STRIDE, HIDDEN, DIM = 32, 16, 8, 12
 GRAMS, SEEN_IN = 1 << 12, 5
@@ -77,7 +78,10 @@ class Net:
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """What words add to the gates of both directions."""
-        return np.concatenate([x @ self.p["Wf"] + self.p["bf"], x @ self.p["Wb"] + self.p["bb"]], axis=-1)
+        out = np.empty((len(x), 6 * HIDDEN), np.float32)
+        for k, at in (("f", slice(None, 3 * HIDDEN)), ("b", slice(3 * HIDDEN, None))):
+            np.add(x @ self.p["W" + k], self.p["b" + k], out=out[:, at], casting="same_kind")
+        return out
 
     def run(self, gates: np.ndarray, idx: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows; idx picks rows of gates, mask says which places hold words."""
@@ -173,25 +177,39 @@ class Windows:
 
     def index(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word numbers, mask, text) by window."""
-        flat = np.array([self.at[w] for ws in lists for w in ws] + [0], np.int32)
-        begins = np.cumsum([0] + [len(ws) for ws in lists])
-        starts, doc = [], []
-        for k, ws in enumerate(lists):
-            s = windows(len(ws))
-            starts += [int(begins[k]) + x for x in s]
-            doc += [k] * len(s)
-        doc = np.array(doc, np.int64)
-        place = np.array(starts, np.int64)[:, None] + np.arange(WINDOW)[None, :] if starts else np.zeros((0, WINDOW), np.int64)
-        mask = place < begins[1:][doc][:, None] if starts else np.zeros((0, WINDOW), bool)
-        return flat[np.where(mask, place, 0)], mask, doc
-
-
-def features(net: Net, lists: list[list[str]], memo: Windows, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return spread(np.array([self.at[w] for ws in lists for w in ws], np.int32), np.array([len(ws) for ws in lists], np.int64))
+
+
+def spread(flat: np.ndarray, sizes: np.ndarray, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word numbers, mask, text) by window, for the word numbers of texts in turn and how many words each has."""
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    starts, per = [], []
+    for k, n in enumerate(sizes.tolist()):
+        s = np.array(windows(n), np.int64)
+        starts.append(s + begins[k])
+        per.append(len(s))
+    starts = np.concatenate([np.zeros(0, np.int64), *starts])
+    doc = np.repeat(np.arange(len(sizes)), per)
+    idx, mask = np.zeros((len(starts), WINDOW), np.int32), np.zeros((len(starts), WINDOW), bool)
+    first = flat[0] if len(flat) else 0
+    for i in range(0, len(starts), chunk):
+        place = starts[i : i + chunk, None] + np.arange(WINDOW)
+        inside = place < begins[1:][doc[i : i + chunk], None]
+        mask[i : i + chunk] = inside
+        idx[i : i + chunk] = np.where(inside, flat[np.where(inside, place, 0)], first)
+    return idx, mask, doc
+
+
+def features(net: Net, lists: list[list[str]], memo: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(highest logit, log(1 + toxic windows), best window, logits' documents) of each text."""
     memo.number(lists)
-    idx, mask, doc = memo.index(lists)
-    logit = np.concatenate([net.run(memo.rows, idx[i : i + chunk], mask[i : i + chunk]) for i in range(0, len(idx), chunk)]) if len(idx) else np.zeros(0, np.float32)
-    top, soft, best = np.full(len(lists), -12.0), np.zeros(len(lists)), np.zeros(len(lists), np.int64)
+    return scores(net, memo.rows, *memo.index(lists), len(lists))
+
+
+def scores(net: Net, gates: np.ndarray, idx: np.ndarray, mask: np.ndarray, doc: np.ndarray, n: int, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """features of n texts that are windows already."""
+    logit = np.concatenate([net.run(gates, idx[i : i + chunk], mask[i : i + chunk]) for i in range(0, len(idx), chunk)]) if len(idx) else np.zeros(0, np.float32)
+    top, soft, best = np.full(n, -12.0), np.zeros(n), np.zeros(n, np.int64)
     if len(logit):
         first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         top[doc[first]] = np.maximum.reduceat(logit, first)
@@ -201,6 +219,46 @@ def features(net: Net, lists: list[list[str]], memo: Windows, chunk: int = 4096)
     return np.clip(top, -12, 12), soft, best, doc
 
 
+def numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], dict[str, int]]:
+    """Word numbers of all texts in turn, words of each text, the words in order, and those of at least SEEN_IN texts with their
+    rows. Texts become numbers one by one: the driver never holds their words as strings together."""
+    at: dict[str, int] = {}
+    parts, often = [np.zeros(0, np.int32)], Counter()
+    for t in texts:
+        part = np.array([at.setdefault(w, len(at)) for w in word_list(t)], np.int32)
+        often.update(np.unique(part).tolist())
+        parts.append(part)
+    vocab = sorted(at)
+    order = np.array([at[w] for w in vocab], np.int64)
+    rank = np.empty(len(vocab), np.int32)
+    rank[order] = np.arange(len(vocab), dtype=np.int32)
+    known = {w: k + 1 for k, w in enumerate(w for w in vocab if often[at[w]] >= SEEN_IN)}
+    return rank[np.concatenate(parts)], np.array([len(p) for p in parts[1:]], np.int64), vocab, known
+
+
+class Coded:
+    """The inputs of many words, as arrays."""
+
+    def __init__(self, vocab: list[str], known: dict[str, int]):
+        self.word = np.zeros(len(vocab), np.int32)
+        size, grams = np.zeros(len(vocab), np.int64), array("H")
+        for k, w in enumerate(vocab):
+            self.word[k], g = inputs(w, known)
+            grams.extend(g)
+            size[k] = len(g)
+        self.end, self.grams = np.cumsum(size), np.array(grams, np.int32)
+
+    def pick(self, numbers: np.ndarray) -> list[tuple[int, list[int]]]:
+        return [(w, self.grams[a:b].tolist()) for w, a, b in zip(self.word[numbers].tolist(), (self.end[numbers - 1] * (numbers > 0)).tolist(), self.end[numbers].tolist())]
+
+    def gates(self, net: Net, chunk: int = 8192) -> np.ndarray:
+        n = len(self.word)
+        x = np.empty((n, DIM), np.float32)
+        for i in range(0, n, chunk):
+            x[i : i + chunk] = net.embed(self.pick(np.arange(i, min(n, i + chunk))))
+        return net.gates(x)
+
+
 def train(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 7, warm_windows: int = 24_000, epochs: int = 5, batch: int = 256) -> Net:
     """Fits net and head. weight: what a document of each class stands for."""
     rng = np.random.default_rng(seed)
@@ -208,17 +266,14 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 7, wa
         net = Net({}, seed)
         net.head = np.array([0.0, 0.0, 4.0 if len(y) and y.min() == 1 else -4.0])
         return net
-    lists = [word_list(t) for t in texts]
-    often = Counter(w for ws in lists for w in set(ws))
-    net = Net({w: k + 1 for k, w in enumerate(sorted(w for w, n in often.items() if n >= SEEN_IN))}, seed)
-    apart = rng.random(len(lists)) < 0.2
+    flat, sizes, vocab, known = numbered(texts)
+    net = Net(known, seed)
+    apart = rng.random(len(sizes)) < 0.2
     if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
         apart[:] = False  # too few for a split
-    vocab = {w: k for k, w in enumerate(sorted(set().union(*lists)))}
-    coded = [inputs(w, net.known) for w in vocab]
-    memo = Windows(net)
-    memo.at = vocab
-    idx, mask, doc = memo.index(lists)
+    coded = Coded(vocab, known)
+    idx, mask, doc = spread(flat, sizes)
+    del flat, vocab
     use_doc = ~apart
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -230,7 +285,7 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 7, wa
         for i in range(0, len(rows), batch):
             r = rows[i : i + batch]
             use, local = np.unique(idx[r], return_inverse=True)
-            g, _ = net.grad([coded[k] for k in use.tolist()], local.reshape(len(r), WINDOW), mask[r], y[doc[r]], 1.0)
+            g, _ = net.grad(coded.pick(use), local.reshape(len(r), WINDOW), mask[r], y[doc[r]], 1.0)
             steps += 1
             for k, v in g.items():
                 m[k] = 0.9 * m[k] + 0.1 * v
@@ -241,16 +296,15 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 7, wa
         """Few rows are learnt from more than once."""
         return np.tile(rows, -(-least // max(1, len(rows)))) if len(rows) < least else rows
 
-    short = np.flatnonzero((np.bincount(doc, minlength=len(lists))[doc] <= 8) & use_doc[doc])  # in short documents the label says most
+    short = np.flatnonzero((np.bincount(doc, minlength=len(sizes))[doc] <= 8) & use_doc[doc])  # in short documents the label says most
     learn(again(rng.permutation(short if len(short) > 2000 else np.flatnonzero(use_doc[doc]))[:warm_windows], warm_windows), 0.01)
     for e in range(epochs):
-        memo = Windows(net)
-        top, _, best, _ = features(net, lists, memo)
-        some = np.flatnonzero(np.array([len(x) > 0 for x in lists]) & use_doc)
+        best = scores(net, coded.gates(net), idx, mask, doc, len(sizes))[2]
+        some = np.flatnonzero((sizes > 0) & use_doc)
         rows = best[some]
         extra = rng.permutation(np.flatnonzero((y[doc] == 0) & use_doc[doc]))[: len(some)]
         learn(again(np.concatenate([rows, extra]), 4000), 0.01 if e < epochs - 1 else 0.003)
-    top, soft, _, _ = features(net, lists, Windows(net))
+    top, soft, _, _ = scores(net, coded.gates(net), idx, mask, doc, len(sizes))
     x = np.column_stack([top, soft, np.ones(len(top))])
     if apart.any():
         x, y, weight = x[apart], y[apart], weight[apart]
@@ -281,7 +335,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 1500, seed: int =
     rows = sorted(rows, key=lambda r: (r.doc_id, r.text, r.y))
     y = np.array([r.y for r in rows], np.float32)
     weight = np.array([counts[int(c)] / max(1, (y == c).sum()) for c in y])
-    return train([r.text for r in rows], y, weight / weight.mean() if len(weight) else weight, seed)
+    texts = [r.text for r in rows]
+    del rows
+    net = train(texts, y, weight / weight.mean() if len(weight) else weight, seed)
+    del texts
+    tidy()  # the driver lives on, too
+    return net
 
 
 def toxicity(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

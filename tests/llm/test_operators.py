@@ -409,6 +409,18 @@ def test_islands_are_rows_and_pass_their_elites_on(spark, monkeypatch):
     assert all(len(g) == min(r.n_bins for (s, _), r in last.items() if s == shard) for shard, g in got.items())
 
 
+def test_training_holds_no_words_as_strings():
+    """The driver trains: besides the texts it needs a few bytes a word, not a string for each."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randint(0, 20_000)}" for _ in range(3000)) for _ in range(200)]
+    y = np.array([k % 2 for k in range(200)], np.float32)
+    tracemalloc.start()
+    net = toxicity.train(texts, y, np.ones(200), warm_windows=256, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(net.known) > 10_000 and peak < 40e6
+
+
 def test_evolution_beats_or_equals_best_fit():
     rng = random.Random(6)
     for _ in range(5):
