@@ -8,11 +8,15 @@ of it all would take many times the input in disk. Only strings near differences
    with one anchor is a context, known by anchor hash and a hash of its bytes, 128 bits together.
 2. Contexts that repeat are decided there and then: all but the first in (document, place) are covered. Each task does
    so for its own before it sends anything, so a passage that a third of all documents hold costs a row a task.
-3. An anchor with several different contexts (around edits and the ends of passages) needs byte by byte comparison: the
-   first of each of its contexts goes, with its bytes, to a shard, where all suffixes are sorted by induced sorting
-   (induced.py), in memory at this size of shard, and neighbours that agree in 100 bytes are the repeats.
-4. Anchors with very many different contexts, told by a bitmap of fixed size, are cut into single strings in step 1
-   already, which step 2 settles; so no shard gets an unbounded group.
+3. An anchor with several different contexts (around edits and the ends of passages) needs byte by byte comparison. Two of
+   them share a string of 100 bytes only if they agree in the 40 bytes before the anchor or in the 40 after it, as 80 of the
+   string's bytes lie around it; hashes of both sides tell which contexts may share one. In a large corpus nearly every
+   20-gram repeats somewhere, but few of 60 bytes do. The first of each such context goes, with its bytes, to a shard,
+   where all suffixes are sorted by induced sorting (induced.py), in memory at this size of shard, and neighbours that
+   agree in 100 bytes are the repeats.
+4. Anchors with very many different contexts, told by a bitmap of fixed size, give way to anchors of 60 bytes in step 1: a
+   context is cut in two, strings with at least 40 bytes before the old anchor, and the others. Where such an anchor has
+   very many contexts too, the part is cut into single strings, which step 2 settles; so no shard gets an unbounded group.
 
 Rows that share an id count as one document: they must be copies of each other. Spans found for an id are applied to
 each of its rows, within its length. Null and empty texts and those under 100 bytes lose nothing. A null id is an id.
@@ -57,12 +61,14 @@ def _hash(total: np.ndarray, base: int, a: np.ndarray, b: np.ndarray) -> np.ndar
 
 
 def contexts(data: np.ndarray, off: np.ndarray, hot: bytes | None, width: int = WIDTH, gram: int = GRAM):
-    """(anchor hash, context hash, row, start in text, length) of all contexts of these texts."""
+    """(anchor hash, context hash, row, start in text, length, hash of the anchor with half of the other bytes before it, the
+    same with those after it) of all contexts of these texts. The last two are 0 where the context ends before; where hot
+    anchors were cut, they are alike for all."""
     n = np.diff(off)
     rows = np.flatnonzero(n >= width)
     empty = np.zeros(0, np.int64)
     if not len(rows):
-        return empty.view(U64), empty.view(U64), empty, empty, empty
+        return empty.view(U64), empty.view(U64), empty, empty, empty, empty.view(U64), empty.view(U64)
     per = n[rows] - width + 1
     row = np.repeat(rows, per)
     pos = np.repeat(off[rows], per) + np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
@@ -85,24 +91,61 @@ def contexts(data: np.ndarray, off: np.ndarray, hot: bytes | None, width: int =
     lo, hi, row = pos[begin], pos[end] + width, row[begin]
     anchor = (U64((1 << 28) - 1) - (low[begin] & U64((1 << 28) - 1))).astype(np.int64)
     a = h[anchor]
-    c = mix(_hash(second, _R, lo, hi) ^ mix(((anchor - lo) << 32 | (hi - lo)).astype(U64)))
-    if hot is not None and (many := in_bitmap(hot, a.view(np.int64))).any():
-        k = np.flatnonzero(many)
-        count = hi[k] - lo[k] - width + 1
-        s = np.repeat(lo[k], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        x, y = mix(_hash(first, _P, s, s + width) + U64(1)), mix(_hash(second, _R, s, s + width))
-        rest = ~many
-        a, c = np.concatenate([a[rest], x]), np.concatenate([c[rest], y])
-        row, lo, hi = np.concatenate([row[rest], np.repeat(row[k], count)]), np.concatenate([lo[rest], s]), np.concatenate([hi[rest], s + width])
-    return a, c, row, lo - off[row], hi - lo
-
-
-ROW = "kind byte, a long, c long, doc long, lo int, len int"
-COLS = ["kind", "a", "c", "doc", "lo", "len"]
-
-
-def _batch(kind: int, a, c, doc, lo, size) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.full(len(doc), kind, np.int8)), *(pa.array(np.asarray(x).view(np.int64)) for x in (a, c, doc)), pa.array(lo.astype(np.int32)), pa.array(size.astype(np.int32))], COLS)
+    half = (width - gram) // 2
+
+    def context(lo, hi, anchor):
+        return mix(_hash(second, _R, lo, hi) ^ mix(((anchor - lo) << 32 | (hi - lo)).astype(U64)))
+
+    def side(inside, begin, salt):
+        begin = np.where(inside, begin, 0)
+        return np.where(inside, mix(_hash(first, _P, begin, begin + np.where(inside, gram + half, 0)) ^ U64(salt)) | U64(1 << 32), U64(0))
+
+    before = side(anchor - lo >= half, anchor - half, 2)
+    after = side(hi - anchor >= gram + half, anchor, 3)
+    if hot is None or not (many := in_bitmap(hot, a.view(np.int64))).any():
+        return a, context(lo, hi, anchor), row, lo - off[row], hi - lo, before, after
+    k, rest = np.flatnonzero(many), ~many
+    # strings with at least half before the anchor, and the others
+    left, right = k[before[k] > 0], k[hi[k] - width >= anchor[k] - half + 1]
+    new_a = np.concatenate([before[left], after[right]])
+    new_lo = np.concatenate([lo[left], np.maximum(lo[right], anchor[right] - half + 1)])
+    new_hi = np.concatenate([np.minimum(anchor[left] - half + width, hi[left]), hi[right]])
+    new_row, new_anchor = row[np.concatenate([left, right])], anchor[np.concatenate([left, right])]
+    again = in_bitmap(hot, new_a.view(np.int64))
+    k = np.flatnonzero(again)
+    count = new_hi[k] - new_lo[k] - width + 1
+    s = np.repeat(new_lo[k], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    x, y = mix(_hash(first, _P, s, s + width) + U64(1)), mix(_hash(second, _R, s, s + width))
+    k = np.flatnonzero(~again)
+    a = np.concatenate([a[rest], new_a[k], x])
+    c = np.concatenate([context(lo[rest], hi[rest], anchor[rest]), context(new_lo[k], new_hi[k], new_anchor[k]), y])
+    lo = np.concatenate([lo[rest], new_lo[k], s])
+    hi = np.concatenate([hi[rest], new_hi[k], s + width])
+    row = np.concatenate([row[rest], new_row[k], np.repeat(new_row[again], count)])
+    alike = np.ones(len(k) + len(s), U64) << U64(32)
+    return a, c, row, lo - off[row], hi - lo, np.concatenate([before[rest], alike]), np.concatenate([after[rest], alike])
+
+
+#: sides: 32 bits each of the hashes with the bytes before and after the anchor.
+ROW = "kind byte, a long, c long, doc long, lo int, len int, sides long"
+COLS = ["kind", "a", "c", "doc", "lo", "len", "sides"]
+
+
+def _batch(kind: int, a, c, doc, lo, size, sides) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.full(len(doc), kind, np.int8)), *(pa.array(np.asarray(x).view(np.int64)) for x in (a, c, doc)), pa.array(lo.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(sides)], COLS)
+
+
+def _may_share(anchor: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Which of these different contexts agree with another one of their anchor (numbered) on a side."""
+    out = np.zeros(len(anchor), bool)
+    for shift in (32, 0):
+        s = sides.view(U64) >> U64(shift) & U64(0xFFFFFFFF)
+        k = np.flatnonzero(s)
+        order = k[np.lexsort((s[k], anchor[k]))]
+        same = (anchor[order[1:]] == anchor[order[:-1]]) & (s[order[1:]] == s[order[:-1]])
+        out[order[1:][same]] = True
+        out[order[:-1][same]] = True
+    return out
 
 
 def _leaders(a, c, doc, lo):
@@ -121,8 +164,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, hot_contexts: int = 2000
         for batch in batches:
             for b in slices(batch, limit=SLICE):
                 ids = b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-                a, c, row, lo, n = contexts(*utf8(b.column(1)), hot, width)
-                held.append((a, c, ids[row], lo, n))
+                a, c, row, lo, n, before, after = contexts(*utf8(b.column(1)), hot, width)
+                held.append((a, c, ids[row], lo, n, before, after))
                 size += len(a)
                 if size >= FLUSH:
                     yield [np.concatenate(x) for x in zip(*held)]
@@ -131,43 +174,49 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, hot_contexts: int = 2000
             yield [np.concatenate(x) for x in zip(*held)]
 
     def crowded(batches):
-        for a, c, *_ in collected(batches, None):
+        for a, c, _, _, _, before, after in collected(batches, None):
             order = np.lexsort((c, a))
-            a, c = a[order], c[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
-            v, n = np.unique(a[new], return_counts=True)
+            new = np.concatenate([[True], (a[order[1:]] != a[order[:-1]]) | (c[order[1:]] != c[order[:-1]])])
+            k = order[new]
+            _, number, n = np.unique(a[k], return_inverse=True, return_counts=True)
+            k = k[n[number] >= local_contexts]
+            v = np.concatenate([a[k], before[k], after[k]])  # what takes the place of an anchor can be crowded itself
+            v, n = np.unique(v[v > 0], return_counts=True)
             many = n >= local_contexts
             yield pa.record_batch([pa.array(v[many].view(np.int64)), pa.array(n[many])], ["a", "n"])
 
     hot = bitmap(arrow_map(docs, crowded, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= hot_contexts), "a")
 
     def send(batches):
-        for a, c, doc, lo, n in collected(batches, hot):
+        for a, c, doc, lo, n, before, after in collected(batches, hot):
+            sides = (before >> U64(32) << U64(32) | after >> U64(32)).view(np.int64)
             order = np.lexsort((lo, doc, c, a))
-            a, c, doc, lo, n = (x[order] for x in (a, c, doc, lo, n))
+            a, c, doc, lo, n, sides = (x[order] for x in (a, c, doc, lo, n, sides))
             new, covered = _leaders(a, c, doc, lo)
-            yield _batch(0, a[new], c[new], doc[new], lo[new], n[new])
+            yield _batch(0, a[new], c[new], doc[new], lo[new], n[new], sides[new])
             if covered.any():
-                yield _batch(1, a[covered], c[covered], doc[covered], lo[covered], n[covered])
+                yield _batch(1, a[covered], c[covered], doc[covered], lo[covered], n[covered], np.zeros(int(covered.sum()), np.int64))
 
     def settle(batches):
-        """kind 1: covered; kind 2: one of several contexts of an anchor."""
+        """kind 1: covered; kind 2: one of several contexts of an anchor, of which another may share a string."""
 
         def decide(m):
             new, covered = _leaders(m[:, 0], m[:, 1], m[:, 2], m[:, 3])
             heads = np.flatnonzero(new)
             anchor = np.cumsum(np.concatenate([[0], (m[heads[1:], 0] != m[heads[:-1], 0]).astype(np.int64)])) if len(heads) else np.zeros(0, np.int64)
-            several = heads[np.bincount(anchor)[anchor] > 1] if len(heads) else heads
+            many = np.flatnonzero(np.bincount(anchor)[anchor] > 1) if len(heads) else heads
+            several = heads[many]
+            several = several[_may_share(anchor[many], m[several, 5].copy())]
             for kind, k in ((1, np.flatnonzero(covered)), (2, several)):
                 if len(k):
-                    yield _batch(kind, *(m[k, i].copy() for i in range(5)))
+                    yield _batch(kind, *(m[k, i].copy() for i in range(6)))
 
-        held = np.zeros((0, 5), np.int64)
+        held = np.zeros((0, 6), np.int64)
         for b in batches:
             kind = b.column(0).to_numpy()
             if (kind == 1).any():
                 yield b.filter(pa.array(kind == 1))
-            m = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1, 6)])[kind == 0]
+            m = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1, 7)])[kind == 0]
             m = np.concatenate([held, m])
             if not len(m):
                 continue

@@ -178,6 +178,38 @@ def test_suffix_dedup(spark, docs, empty, hot):
         assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_contexts_that_share_no_string_stay_apart():
+    """A common 20-gram alone neither sends contexts to be sorted nor cuts them into single strings, and no link is lost."""
+    rng = random.Random(8)
+    word = lambda n: bytes(rng.choice(b"abcdefghijklmnop") for _ in range(n))
+    base, pool = word(600), np.frombuffer(word(20_000), np.uint8)
+    at = np.arange(len(pool) - 19)
+    at = int(np.argmin(common.mix(suffix_dedup._hash(suffix_dedup._prefix(pool, suffix_dedup._P), suffix_dedup._P, at, at + 20))))
+    gram = pool[at : at + 20].tobytes()  # the anchor wherever it stands
+    apart = [word(90) + gram + word(90) for _ in range(300)]
+    linked = [word(rng.randint(0, 70)) + base[(i := rng.randint(0, 480)) : i + rng.randint(90, 180)] + word(rng.randint(0, 70)) for _ in range(150)]
+    for texts in (apart, linked):
+        data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        plain = suffix_dedup.contexts(data, off, None)
+        bits = np.zeros(1 << 25, bool)
+        bits[(common.mix(plain[0]) >> np.uint64(39)).astype(np.int64)] = True
+        for a, c, row, lo, n, before, after in (plain, suffix_dedup.contexts(data, off, np.packbits(bits).tobytes())):
+            assert int((n - 99).sum()) == sum(max(0, len(t) - 99) for t in texts)  # each string is in one context
+            assert len(a) <= 2 * len(plain[0])
+            number = np.unique(a, return_inverse=True)[1]
+            first = np.unique(np.column_stack([a, c]), axis=0, return_index=True)[1]
+            share = dict(zip(first.tolist(), suffix_dedup._may_share(number[first], (before >> np.uint64(32) << np.uint64(32) | after >> np.uint64(32)).view(np.int64)[first]).tolist()))
+            if texts is apart and a is plain[0]:
+                assert np.bincount(number).max() > 250 and not any(share.values())
+            held = collections.defaultdict(set)
+            for k in first.tolist():
+                t = texts[row[k]]
+                for s in range(lo[k], lo[k] + n[k] - 99):
+                    held[t[s : s + 100]].add(k)
+            links = [ks for ks in held.values() if len(ks) > 1]
+            assert all(len({a[k] for k in ks}) == 1 and all(share[k] for k in ks) for ks in links) and bool(links) == (texts is linked)
+
+
 def test_pii_and_secrets(spark, docs, empty):
     extra = spark.createDataFrame([(900, "mail a@b.co token = 'abcdefghijkl1'", 1, 1, "", 1), (None, "x@y.de", 1, 1, "", 1)], SCHEMA)
     both = docs.unionByName(extra)
