@@ -425,6 +425,31 @@ def test_packing_moves_few_pieces_on(spark, monkeypatch):
     assert len(seqs) == 18_000  # no two of the long pieces fit, and the short ones fill gaps
 
 
+def test_packing_of_all_that_is_left_over(spark):
+    """Surplus pieces of different shards find each other, however many pieces that fit nowhere stand beside them."""
+    lengths = [600] * 4500 + [424] * 4500 + [700] * 9000
+    rows = [(k, 0, 0, n, k) for k, n in enumerate(lengths)]
+    got = packing.pack_pieces(spark.createDataFrame(rows, packing.PIECE).repartition(3), 1024, 2048).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == sorted((r[0], r[3]) for r in rows)
+    seqs = collections.defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    assert all(sorted(s)[0][0] == 0 and sum(n for _, n in s) <= 1024 and all(o + n == p for (o, n), (p, _) in zip(sorted(s), sorted(s)[1:])) for s in seqs.values())
+    assert len(seqs) == 13_500
+
+
+def test_counted_best_fit_is_best_fit():
+    rng = random.Random(6)
+    for _ in range(60):
+        cap = rng.choice([50, 1024])
+        lengths = [rng.choice([rng.randint(1, cap - 1), cap // 2, cap // 3 + 1, 3]) for _ in range(rng.randint(0, 300))]
+        got = packing.best_fit_counted(collections.Counter(lengths), [], cap)
+        assert sorted(b for b, k in got for _ in range(k)) == sorted(packing.best_fit(lengths, [], cap))
+        best = packing.evolve_counted(collections.Counter(lengths), cap, 1)
+        assert sorted(n for b, k in best for _ in range(k) for n in b) == sorted(lengths) and all(sum(b) <= cap for b, _ in best)
+        assert sum(k for _, k in best) <= sum(k for _, k in got)
+
+
 def test_islands_are_rows_and_pass_their_elites_on(spark, monkeypatch):
     rng = random.Random(3)
     lengths = [rng.choice([200, 310, 340, 350, 500, 512, 513]) for _ in range(300)]
