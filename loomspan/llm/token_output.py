@@ -25,6 +25,7 @@ TABLE = [(1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6)
 BLOCK = 4096
 MAGIC = b"S8B1"
 SEGMENT_IDS = 2_000_000
+AT_ONCE = 1 << 17
 NULL_ID = -(2**63)
 
 
@@ -43,11 +44,20 @@ def _bit_length(v: np.ndarray) -> np.ndarray:
 
 
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(words, word offset of each block) of unsigned 64-bit values."""
-    v = values.astype(np.uint64)
+    """(words, word offset of each block) of unsigned 64-bit values, some blocks at a time: what that takes stays in a
+    processor's cache."""
+    size = max(1, AT_ONCE // block) * block
+    words, offsets, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for k in range(0, len(values), size):
+        w, o = _pack_blocks(values[k : k + size].astype(np.uint64), block)
+        words.append(w)
+        offsets.append(o + at)
+        at += len(w)
+    return np.concatenate(words), np.concatenate(offsets)
+
+
+def _pack_blocks(v: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(v)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     bits = _bit_length(v)
     left = block - np.arange(n) % block  # values up to the end of the block
     left = np.minimum(left, n - np.arange(n))
@@ -56,13 +66,14 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     for sel in range(1, 16):
         count, width = TABLE[sel]
         # only where enough small values follow each other; past the end of a block zeros pad the word
-        borders = np.concatenate([[-1], np.flatnonzero(bits > width), [n]])
+        borders = np.concatenate([[-1], np.flatnonzero(bits > width), [n + TABLE[1][0]]])
         gap = np.diff(borders) - 1
         k = np.flatnonzero(gap >= count)
         if not len(k):
             continue
         size = gap[k] - count + 1
         at = np.repeat(borders[k] + 1, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at = at[at < n]
         at = at[undone[at]]
         pick[at] = sel
         undone[at] = False
@@ -87,8 +98,9 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
         count, width = TABLE[s]
         w = np.full(len(m), np.uint64(s) << np.uint64(60))
         if width:
+            a, end = at[m], lim[m]
             for j in range(count):
-                x = np.where(j < lim[m], padded[at[m] + j], np.uint64(0))
+                x = np.where(j < end, padded[a + j], np.uint64(0))
                 w |= x << np.uint64(j * width)
         out[place[m]] = w
     return out, place[np.searchsorted(at, np.arange(0, n, block))]
@@ -197,12 +209,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
         import uuid
 
         for b in batches:
-            for part, i, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for part, i, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), enc.encode_all(b.column(3).to_pylist())):
                 if part not in state:
                     temp = f"{out}/.{part:08d}-{uuid.uuid4().hex}"
                     state[part] = {"f": fs.open_output_stream(temp), "temp": temp, "ids": [], "docs": [], "held": 0, "n": 0, "d": 0}
                 s = state[part]
-                ids = enc.encode(text) + end
+                ids += end
                 s["ids"].append(i)
                 s["docs"].append(ids)
                 s["held"] += len(ids) // 4

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomspan.llm import token_output as T
+from loomspan.llm import tokens
 from loomspan.llm.tokens import Encoder, vocabulary
 
 TEXTS = [
@@ -27,6 +28,49 @@ def test_encoder_equals_library(name):
     settings(max_examples=300, deadline=None)(given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'.,aBé1sS\xa0 ß漢"), st.characters(codec="utf-8")), max_size=40))(same))()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_together_equal_library(name, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "LEAST", 1)
+    enc, tok = Encoder(vocabulary(name)), Tokenizer.from_file(vocabulary(name))
+    assert enc.merges
+
+    def same(texts):
+        for t, ids in zip(texts, enc.encode_all(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+    more = ["a it's it'sun 's 'tis ''s .'s 1's don't'veal 'l 'll x'", "n a’s 12½3 x9y é9 élan's ß'S", "z " + "y" * 70 + " w " + "é" * 40, "a ...!!! --x-- (b) \n\n c", " lead", "trail ", "\x85q r\x85", "a", None]
+    same(TEXTS + more)
+    same([])
+    same([None, ""])
+    settings(max_examples=200, deadline=None)(given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'.,aBé1sStmdrevl\xa0 ß漢"), st.characters(codec="utf-8")), max_size=40), max_size=6))(same))()
+    monkeypatch.setattr(tokens, "TOGETHER", 50)
+    same(TEXTS + more)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_together_are_not_merged_word_by_word(name, monkeypatch):
+    enc, rng = Encoder(vocabulary(name)), np.random.default_rng(1)
+    texts = ["I " + " ".join("".join(rng.choice(list("aeinrstéo"), 8)) + "," * int(rng.integers(0, 2)) for _ in range(200)) for _ in range(100)]
+    asked = []
+    monkeypatch.setattr(enc, "_learn", lambda chunks: asked.append(chunks) or {})
+    got = enc.encode_all(texts)
+    assert not any(asked)
+    monkeypatch.undo()
+    assert got == [enc.encode(t) for t in texts]
+
+
+@pytest.mark.parametrize("block", [64, 4096])
+def test_simple8b_takes_some_blocks_at_a_time(block, monkeypatch):
+    most, real = [], T._pack_blocks
+    monkeypatch.setattr(T, "_pack_blocks", lambda v, block: most.append(len(v)) or real(v, block))
+    v = np.random.default_rng(1).integers(0, 50_000, 500_001).astype("<u4")
+    w, off = T.pack(v, block)
+    assert max(most) <= T.AT_ONCE and sum(most) == len(v)
+    assert np.array_equal(T.unpack(w, off, len(v), block), v)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.just(0), st.integers(0, 3), st.integers(0, 70000), st.integers(0, 2**64 - 1)), max_size=400), st.sampled_from([7, 64, 4096]))
 def test_simple8b_round_trip(v, block):
