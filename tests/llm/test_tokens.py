@@ -1,10 +1,14 @@
+import itertools
+import zlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomspan.llm import token_output as T
-from loomspan.llm import tokens
+from loomspan.llm import packing, tokens
 from loomspan.llm.tokens import Encoder, vocabulary
 
 TEXTS = [
@@ -49,6 +53,17 @@ def test_texts_together_equal_library(name, monkeypatch):
     same(TEXTS + more)
 
 
+@pytest.mark.parametrize("together", [False, True])
+def test_spaces_in_turn_equal_library(together, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "LEAST", 1)
+    enc, tok = Encoder(vocabulary("byte_bpe_50k.json")), Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    texts = ["x " + "".join(p) + "b" for p in itertools.product(" \n\xa0\x85a", repeat=5)]
+    for t, ids in zip(texts, enc.encode_all(texts) if together else map(enc.encode, texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_texts_together_are_not_merged_word_by_word(name, monkeypatch):
     enc, rng = Encoder(vocabulary(name)), np.random.default_rng(1)
@@ -61,6 +76,26 @@ def test_texts_together_are_not_merged_word_by_word(name, monkeypatch):
     assert got == [enc.encode(t) for t in texts]
 
 
+def test_pieces_of_a_batch_are_encoded_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rng = vocabulary("byte_bpe_50k.json"), np.random.default_rng(2)
+    enc, tok, asked = Encoder(path), Tokenizer.from_file(path), []
+    learn = enc._learn
+    monkeypatch.setitem(tokens._ENCODERS, path, enc)
+    monkeypatch.setattr(enc, "_learn", lambda chunks: asked.append(chunks) or learn(chunks))
+    monkeypatch.setattr(packing, "arrow_map", lambda docs, fn, *a, **k: fn)
+    texts = ["I " + " ".join("".join(rng.choice(list("aeinrst"), 8)) for _ in range(400)) for _ in range(40)]
+    batch = pa.record_batch([pa.array(range(41)), pa.array([*texts, None])], ["doc_id", "text"])
+    got = pa.Table.from_batches(packing.cut(None, path, 2, 1024)([batch])).to_pylist()
+    assert not any(asked)
+    for i, t in enumerate([*texts, ""]):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        mine = [r for r in got if r["doc_id"] == i]
+        assert sum(r["length"] for r in mine) == len(ids)
+        assert all(zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in mine)
+
+
 @pytest.mark.parametrize("block", [64, 4096])
 def test_simple8b_takes_some_blocks_at_a_time(block, monkeypatch):
     most, real = [], T._pack_blocks
