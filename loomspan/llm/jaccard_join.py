@@ -9,8 +9,9 @@ a + b <= o (1 - t) / t. So:
   each of its o-subsets; two sets link exactly when some common subset comes with small enough a and b. Nothing needs
   to be verified.
 * heavy (large) sets: inverted lists over each set's prefix, the |A| - ceil(t|A|) + 1 first elements in a global order;
-  linked sets share an element of their prefixes. Lists are scanned for pairs of fitting size; pairs that
-  sketches of 1024 parity bits can't rule out are verified against the whole sets.
+  linked sets share an element of their prefixes. Lists are scanned for pairs of fitting size that stand early enough: behind the
+  first common element, both sets must still hold the overlap that a link takes. Pairs that sketches of 1024 parity bits
+  can't rule out are verified against the whole sets.
 
 The boundary between light and heavy is the size up to which enumerating costs less than scanning. It is computed from how many
 sets of each size there are and how many pairs their inverted lists would make to be verified, counted for all small sets.
@@ -104,6 +105,10 @@ class Rule:
     def prefix(self, n: int) -> int:
         return n - -(-self.num * n // self.den) + 1
 
+    def enough(self, ra, rb, na, nb):
+        """Whether sets may link whose first common element is followed by ra and rb elements, itself included."""
+        return (self.num + self.den) * np.minimum(ra, rb) >= self.num * (na + nb)
+
     def alone(self, o: int) -> int:
         """Most elements that both sides together may have besides o common ones."""
         return o * (self.den - self.num) // self.num
@@ -138,7 +143,8 @@ def boundary(sizes: list[tuple[int, int, float]], rule: Rule, most: int = MOST)
 def small_sizes(classes: DataFrame) -> list[tuple[int, int, float]]:
     """(size, sets, pairs that inverted lists make) for the small sets; at most MOST rows. classes: n, few.
 
-    Elements that are in many sets leave the prefixes, so their lists aren't counted.
+    Elements that are in many sets leave the prefixes, so their lists aren't counted. Pairs that their places in the lists rule out
+    are.
     """
     small = classes.filter(F.col("n") <= MOST)
     lists = small.select("n", F.explode("few").alias("e"))
@@ -204,13 +210,13 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
     least = max(1, math.ceil(light * num / den)) if light else 1
 
     def signatures(batches):
-        """Rows (s, kind, k1, k2, n): kind 0 an element of a prefix, kind o > 0 a subset of size o."""
+        """Rows (s, kind, k1, k2, n, rest): kind 0 an element of a prefix, with the elements from it on, kind o > 0 a subset of size o."""
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for b in slices(batch):
                 sh, off = doc_sets(b.column(1), k)
                 k1, k2 = set_keys(sh, off)
-                S, W, D = [], [], []
+                S, W, D, R = [], [], [], []
                 for i in range(len(k1)):
                     n = int(off[i + 1] - off[i])
                     if not n or (key := (int(k1[i]), int(k2[i]))) in seen:
@@ -228,6 +234,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
                                 S.append(mix(whole - out))
                                 W.append(np.full(len(out), o))
                                 D.append(np.full(len(out), i))
+                                R.append(np.full(len(out), n))
                     if n > light or n >= least:  # light sets near the boundary also meet the heavy ones
                         p = rule.prefix(n)
                         lastly = in_bitmap(late, v.view(np.int64))
@@ -237,11 +244,12 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
                         S.append(first)
                         W.append(np.zeros(p, np.int64))
                         D.append(np.full(p, i))
+                        R.append(n - np.arange(p))
                 if len(seen) > 200_000:
                     seen.clear()  # only saves repeats
                 if S:
                     d = np.concatenate(D)
-                    yield pa.record_batch([pa.array(np.concatenate(S).view(np.int64)), pa.array(np.concatenate(W).astype(np.int16)), pa.array(k1[d]), pa.array(k2[d]), pa.array(np.diff(off)[d].astype(np.int32))], ["s", "kind", "k1", "k2", "n"])
+                    yield pa.record_batch([pa.array(np.concatenate(S).view(np.int64)), pa.array(np.concatenate(W).astype(np.int16)), pa.array(k1[d]), pa.array(k2[d]), pa.array(np.diff(off)[d].astype(np.int32)), pa.array(np.concatenate(R).astype(np.int32))], ["s", "kind", "k1", "k2", "n", "rest"])
 
     def pairs(batches):
         """From rows sorted by (s, kind, n, k1, k2): pairs of classes of fitting size; a list is held in blocks."""
@@ -254,7 +262,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
                 if kind:
                     ok = (n[i] - kind) + (n[j] - kind) <= rule.alone(kind)
                 else:
-                    ok = (n[j] > light) | (n[i] > light)
+                    ok = ((n[j] > light) | (n[i] > light)) & rule.enough(a[i, 5], a[j, 5], n[i], n[j])
                 i = i[ok & ((a[i, 2] != a[j, 2]) | (a[i, 3] != a[j, 3]))]
                 if len(i):
                     yield np.column_stack([a[i, 2:4], np.repeat(a[j : j + 1, 2:4], len(i), 0), np.full(len(i), kind > 0)])
@@ -267,9 +275,9 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
             return pa.record_batch([*(pa.array(p[:, c]) for c in range(4)), pa.array(p[:, 4] == 1)], ["a1", "a2", "b1", "b2", "sure"])
 
         def lists():
-            held = np.zeros((0, 5), np.int64)
+            held = np.zeros((0, 6), np.int64)
             for b in batches:
-                m = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5)])
+                m = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(6)])
                 m = np.concatenate([held, m])
                 begin = np.flatnonzero(np.concatenate([[True], (m[1:, 0] != m[:-1, 0]) | (m[1:, 1] != m[:-1, 1])])) if len(m) else np.zeros(0, np.int64)
                 size = np.diff(np.append(begin, len(m)))
@@ -290,7 +298,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
         if done:
             yield emit(done)
 
-    sig = arrow_map(src, signatures, "s long, kind short, k1 long, k2 long, n int")
+    sig = arrow_map(src, signatures, "s long, kind short, k1 long, k2 long, n int, rest int")
     cand = arrow_map(sig.repartition("s").sortWithinPartitions("s", "kind", "n", "k1", "k2"), pairs, "a1 long, a2 long, b1 long, b2 long, sure boolean")
     cand = materialise(cand.groupBy("a1", "a2", "b1", "b2").agg(F.max("sure").alias("sure")))
 
@@ -311,9 +319,11 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
 
     rough = cand.filter("not sure").join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
     open_pairs = materialise(arrow_map(rough.select("a1", "a2", "b1", "b2", "n_a", "sketch_a", "n_b", "sketch_b"), not_ruled_out, "a1 long, a2 long, b1 long, b2 long"))
-    ends = open_pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(open_pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct()
-    need = materialise(classes.join(ends, ["k1", "k2"]).select("k1", "k2", "rep"))
-    near = bitmap(need, "rep")
+    # a set is long: it goes to the task of its class, where repeats go, and from there once for each pair to the task of the pair's
+    # class a, which gets its own set once; neither is stored
+    ends = open_pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), "a1", "a2", F.lit(1).alias("other"))
+    ends = ends.unionByName(open_pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2"), "a1", "a2", F.lit(0).alias("other")).distinct())
+    near = bitmap(classes.join(ends.select("k1", "k2").distinct(), ["k1", "k2"]), "rep")
 
     def whole_sets(batches):
         for batch in batches:
@@ -321,24 +331,28 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
             for b in slices(batch):
                 sh, off = doc_sets(b.column(1), k)
                 k1, k2 = set_keys(sh, off)
-                yield pa.record_batch([pa.array(k1), pa.array(k2), b.column(0), pa.array([sh[off[i] : off[i + 1]].tobytes() for i in range(len(k1))], pa.binary())], ["k1", "k2", "rep", "set"])
+                yield pa.record_batch([pa.array(k1), pa.array(k2), pa.array([sh[off[i] : off[i + 1]].tobytes() for i in range(len(k1))], pa.binary())], ["k1", "k2", "set"])
 
-    sets = arrow_map(src, whole_sets, "k1 long, k2 long, rep long, set binary").join(need, ["k1", "k2", "rep"], "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", "set")
-    sets = materialise(sets)
-    joined = open_pairs.join(sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("set").alias("x")), ["a1", "a2"]).join(sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("set").alias("y")), ["b1", "b2"])
+    sets = arrow_map(src, whole_sets, "k1 long, k2 long, set binary").dropDuplicates(["k1", "k2"])
+    sent = ends.join(sets, ["k1", "k2"]).select("a1", "a2", F.col("k1").alias("b1"), F.col("k2").alias("b2"), "other", "set")
 
     def verify(batches):
+        """From rows sorted by (a1, a2, other): a class, then those that it may link with."""
+        u = np.zeros(0, U64)
         for b in batches:
-            x, y = b.column(4), b.column(5)
+            other, x = b.column(4).to_numpy(), b.column(5)
             keep = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
-                u, v = np.frombuffer(x[i].as_py(), U64), np.frombuffer(y[i].as_py(), U64)
+                v = np.frombuffer(x[i].as_py(), U64)
+                if not other[i]:
+                    u = v
+                    continue
                 at = np.searchsorted(v, u)
                 at[at == len(v)] = 0
                 keep[i] = rule.linked(int((v[at] == u).sum()), len(u), len(v))
             yield b.select([0, 1, 2, 3]).filter(pa.array(keep))
 
-    good = arrow_map(joined.select("a1", "a2", "b1", "b2", "x", "y"), verify, "a1 long, a2 long, b1 long, b2 long")
+    good = arrow_map(sent.repartition("a1", "a2").sortWithinPartitions("a1", "a2", "other"), verify, "a1 long, a2 long, b1 long, b2 long")
     links = materialise(good.unionByName(cand.filter("sure").select("a1", "a2", "b1", "b2")))
     both = links.unionByName(links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
     other = classes.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("rep").alias("rep_b"), F.col("size").alias("size_b"))

@@ -134,6 +134,39 @@ def test_jaccard_light_half(spark, monkeypatch):
     assert [(r.n_similar, r.component_id) for r in got if r.doc_id is None] == [(want[i][1], want[i][2]) for i in want if i >= 5000]
 
 
+def test_jaccard_candidates_by_place(spark, monkeypatch):
+    """Sets that first meet too late in their prefixes to link are no candidates; links at the threshold are, and large sets are not
+    stored."""
+    rng = random.Random(21)
+    rows, fresh = [], lambda n: [f"w{rng.getrandbits(48):x}" for _ in range(n)]
+    for i in range(0, 400, 2):
+        a, b = fresh(rng.randint(60, 90)), fresh(rng.randint(60, 90))
+        at = rng.randrange(50)
+        b[at : at + 5] = a[at : at + 5]  # one shingle in common
+        rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+    for i in range(1000, 1080, 2):
+        a = fresh(99)  # 95 shingles; the last of each of two differ, in 5 elements: 90 of 100
+        rows += [(i, " ".join(a)), (i + 1, " ".join(a[:94] + fresh(5 + i // 2 % 2)))]
+    made, real = [], jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df: made.append(real(df)) or made[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = linked(rows)
+    assert joined(df) == want
+    assert sum(v[1] for v in want.values()) == 40
+    sh, off = jaccard_join.doc_sets(pa.array([t for _, t in rows]))
+    sets = [sh[x:y].tolist() for x, y in zip(off[:-1], off[1:])]
+    rule, meet, early = jaccard_join.Rule(90, 100), 0, 0
+    for u, v in zip(sets[::2], sets[1::2]):
+        common = set(u[: rule.prefix(len(u))]) & set(v[: rule.prefix(len(v))])
+        if common and 10 * min(len(u), len(v)) >= 9 * max(len(u), len(v)):
+            first = min(common)
+            most = min(len(u) - u.index(first), len(v) - v.index(first))
+            meet, early = meet + 1, early + (190 * most >= 90 * (len(u) + len(v)))
+    (cand,) = [x for x in made if "sure" in x.columns]
+    assert cand.count() == early < meet
+    assert not any("set" in x.columns for x in made)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(1000, 1040)]
