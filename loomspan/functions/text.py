@@ -29,18 +29,30 @@ def aggressive(s: str) -> str:
 
 def within_two_edits(a: str, b: str, most: int = 2) -> bool:
     """Edit distance with swaps of neighbours, at most two."""
+    if a == b:
+        return True
+    k = 0
+    while k < len(a) and k < len(b) and a[k] == b[k]:
+        k += 1
+    a, b = a[k:], b[k:]
+    k = 0
+    while k < len(a) and k < len(b) and a[-1 - k] == b[-1 - k]:
+        k += 1
+    a, b = a[: len(a) - k], b[: len(b) - k]
     if abs(len(a) - len(b)) > most:
         return False
-    rows = [list(range(len(b) + 1))]
+    before, last = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
         for j, y in enumerate(b, 1):
-            d = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y))
+            d = last[j - 1] if x == y else 1 + min(last[j], row[-1], last[j - 1])
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, rows[-2][j - 2] + 1)
+                d = min(d, before[j - 2] + 1)
             row.append(d)
-        rows.append(row)
-    return rows[-1][-1] <= most
+        if min(row) > most and (i == 1 or min(last) > most):
+            return False
+        before, last = last, row
+    return last[-1] <= most
 
 
 _IDENTIFIER = re.compile(r"[^\W\d]\w*\Z")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, is_dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..errors import QueryError
 from ..plans import metadata
 from ..plans.pattern import DEFAULT_FIELD, FIELDS, Event, parse_basic, parse_event
 from ..plans.rules import Loader, Priority, Rule
+from . import columnar
 from . import match as M
 
 KEY = ["doc_key", "doc_id", "sent_id"]
@@ -263,7 +265,8 @@ class Engine:
     """sentences: doc_key, doc_id, sent_id, num_tokens and layers; docs: see plans/metadata.py.
 
     columns binds names in filters to plain columns of docs. Sentences without a layer that a pattern asks for are an
-    error; null layers match nothing.
+    error; null layers match nothing. text: doc_key, doc_id and text of the documents that sentences were made of by
+    corpus.annotate, if they were; then queries cut the sentences themselves, see columnar.py.
     """
 
     sentences: DataFrame
@@ -272,6 +275,7 @@ class Engine:
     fields: tuple[str, ...] = FIELDS
     default: str = DEFAULT_FIELD
     root: str | None = None
+    text: DataFrame | None = None
 
     # --- compiling --------------------------------------------------------------------------------------------------
 
@@ -289,21 +293,30 @@ class Engine:
 
     # --- running ----------------------------------------------------------------------------------------------------
 
-    def _filtered(self, condition) -> DataFrame:
+    def _filtered(self, condition, rows: DataFrame) -> DataFrame:
         cond = metadata.condition(condition, self.columns)
         if cond is None:
-            return self.sentences
+            return rows
         if self.docs is None:
             raise QueryError("a document filter needs the table of documents")
-        return self.sentences.join(self.docs.filter(cond).select("doc_key"), "doc_key", "left_semi")
+        return rows.join(self.docs.filter(cond).select("doc_key"), "doc_key", "left_semi")
 
     def query(self, pattern, filter=None, limit: int | None = None, after: tuple | None = None, all_matches: bool = False, label: str | None = None, name: str = "query", state: DataFrame | None = None, trigger_overlap: bool = False) -> DataFrame:
         """Mentions of one pattern. limit: that many sentences, in order; after: only sentences behind (doc_key, sent_id)."""
         tree = self.compile(pattern) if isinstance(pattern, str) else pattern
         rule = Rule(name, "event" if isinstance(tree, Event) else "basic", tree, label)
-        rows = self._filtered(filter)
-        if after is not None:
-            rows = rows.filter((F.col("doc_key") > after[0]) | (F.col("doc_key") == after[0]) & (F.col("sent_id") > after[1]))
+        behind = None if after is None else (F.col("doc_key") > after[0]) | (F.col("doc_key") == after[0]) & (F.col("sent_id") > after[1])
+        if self._cuts([rule], state):
+            rows = self._filtered(filter, self.text)
+            if behind is not None:
+                rows = rows.filter(F.col("doc_key") >= after[0])
+            out = self._cut(rows, [rule], False, trigger_overlap, all_matches)
+            if behind is not None:
+                out = out.filter(behind)
+            return out if limit is None else self.first(out, limit)
+        rows = self._filtered(filter, self.sentences)
+        if behind is not None:
+            rows = rows.filter(behind)
         preds = None if isinstance(tree, Event) or state is not None else fixed(tree)
         if preds is not None:
             out = self._native(rows, preds, all_matches, label, name)
@@ -326,7 +339,10 @@ class Engine:
         that many sentences, in order."""
         if isinstance(rules, str):
             rules = self.rules(rules)
-        out = self._run(self._filtered(filter), rules, state, use_state, trigger_overlap, False, compat)
+        if self._cuts(rules, state):
+            out = self._cut(self._filtered(filter, self.text), rules, use_state, trigger_overlap, False, compat)
+        else:
+            out = self._run(self._filtered(filter, self.sentences), rules, state, use_state, trigger_overlap, False, compat)
         return out if limit is None else self.first(out, limit)
 
     def _native(self, rows: DataFrame, preds: list[tuple], all_matches: bool, label, name) -> DataFrame:
@@ -350,6 +366,68 @@ class Engine:
         out = rows.select(*KEY, F.explode(places).alias("start"))
         return out.select(*KEY, "start", (F.col("start") + k).alias("end"), F.lit(label).cast("string").alias("label"), F.lit(name).alias("found_by"), F.lit("basic").alias("kind"), F.array().cast(CAPS).alias("caps"))
 
+    def _cuts(self, rules: list[Rule], state: DataFrame | None) -> bool:
+        return self.text is not None and state is None and all(used_fields(r.pattern) <= set(FIELDS) for r in rules)
+
+    def _marked(self, rows: DataFrame, filters: list[tuple], flags: list[str]) -> DataFrame:
+        """Rows with whether their document passes these filters."""
+        if not filters:
+            return rows
+        if self.docs is None:
+            raise QueryError("the rules have document filters, which need the table of documents")
+        return rows.join(self.docs.select("doc_key", *(metadata.condition(list(f), self.columns).alias(n) for f, n in zip(filters, flags))), "doc_key", "left")
+
+    def _cut(self, rows: DataFrame, rules: list[Rule], use_state: bool, trigger_overlap: bool, all_matches: bool = False, compat: bool = False) -> DataFrame:
+        filters = sorted({r.filters for r in rules if r.filters})
+        flags = [f"__ok{k}" for k in range(len(filters))]
+        rows = self._marked(rows, filters, flags).select("doc_key", "doc_id", "text", *flags)
+        predicates = list({t[1]: None for r in rules for t in walk(r.pattern) if t[0] == "tok"})
+
+        def slowly(live, s):
+            conds = [columnar.needs(r.pattern, s) for r in live]
+            keep = np.ones(s.count, bool) if any(c is None for c in conds) else np.logical_or.reduce(conds)
+            out: list[tuple] = []
+            for k in np.flatnonzero(keep).tolist():
+                found = cascade([(r, True) for r in live], s.sentence(k, predicates), use_state, trigger_overlap, all_matches, compat)
+                out += ((k, x, y, label, by, kind, flat_caps(caps)) for label, x, y, caps, by, kind in found)
+                if len(out) >= columnar.ROWS:
+                    yield out
+                    out = []
+            if out:
+                yield out
+
+        def mentions(b, live, kept):
+            s = columnar.Sentences(b.column(2), kept)
+            if not s.count or not live:
+                return
+            keys = [b.column(0), b.column(1)]
+            try:
+                if compat:
+                    raise columnar.Slow
+                for m in columnar.Vector(s).cascade(live, use_state, trigger_overlap, all_matches):
+                    for cols in columnar.table(m, s, keys):
+                        yield pa.record_batch([v.cast(t) for v, t in zip(cols, _MENTION_TYPES)], _MENTION_NAMES)
+            except columnar.Slow:  # before anything is given out
+                for out in slowly(live, s):
+                    k, *cols = zip(*out)
+                    k = np.array(k)
+                    yield pa.record_batch([*(c.take(pa.array(s.text[k])) for c in keys), pa.array(s.sent_id[k]), *(pa.array(v, t) for v, t in zip(cols, _MENTION_TYPES[3:]))], _MENTION_NAMES)
+
+        def scan(batches):
+            kept: dict = {}
+            for b in batches:
+                for lo, hi in columnar.parts(b.column(2)):
+                    part = b.slice(lo, hi - lo)
+                    if not filters:
+                        yield from mentions(part, rules, kept)
+                        continue
+                    ok = list(zip(*(part.column(3 + j).to_pylist() for j in range(len(filters)))))
+                    for passed in sorted({tuple(map(bool, x)) for x in ok}):
+                        live = [r for r in rules if not r.filters or passed[filters.index(r.filters)]]
+                        yield from mentions(part.filter(pa.array([tuple(map(bool, x)) == passed for x in ok])), live, kept)
+
+        return rows.mapInArrow(scan, MENTION)
+
     def _run(self, rows: DataFrame, rules: list[Rule], state: DataFrame | None, use_state: bool, trigger_overlap: bool, all_matches: bool = False, compat: bool = False) -> DataFrame:
         layers = sorted(set().union(*(used_fields(r.pattern) for r in rules)) if rules else set())
         if missing := [f for f in layers if f not in rows.columns]:
@@ -370,11 +448,7 @@ class Engine:
             rows = rows.select(*KEY, "num_tokens", *layers, (F.col("edges") if kept is None else kept).alias("__edges"))
             rows = rows.withColumns({f"__{k}": F.col("__edges")[k] for k in ("src", "dst", "label")})
         rows = rows.select(*cols)
-        if filters:
-            if self.docs is None:
-                raise QueryError("the rules have document filters, which need the table of documents")
-            marks = self.docs.select("doc_key", *(metadata.condition(list(f), self.columns).alias(n) for f, n in zip(filters, flags)))
-            rows = rows.join(marks, "doc_key", "left")
+        rows = self._marked(rows, filters, flags)
         if state is not None:
             by = state.groupBy("doc_key", "sent_id").agg(F.collect_list(F.struct("label", "start", "end", "caps")).alias("__state"))
             rows = rows.join(by, ["doc_key", "sent_id"], "left")

@@ -182,7 +182,12 @@ def _norms(raw: pd.Series) -> pd.Series:
 
 def tag_of(t: Column) -> Column:
     """A token's class by its form: NUM, CAP, PUNCT or W."""
-    return F.when(t.rlike(r"^[0-9][0-9.,]*$"), "NUM").when(t.rlike("^[A-Z]"), "CAP").when(t.rlike(r"^[^A-Za-z0-9\u0080-￿]+$"), "PUNCT").otherwise("W")
+    return F.when(t.rlike(r"^[0-9][0-9.,]*\z"), "NUM").when(t.rlike("^[A-Z]"), "CAP").when(t.rlike(r"^[^A-Za-z0-9\u0080-￿]+\z"), "PUNCT").otherwise("W")
+
+
+def plain_text(docs: DataFrame, key: Column, doc_id: Column, text: Column) -> DataFrame:
+    """What annotate makes sentences of, for an engine that cuts them itself."""
+    return docs.select(key.cast("long").alias("doc_key"), doc_id.cast("string").alias("doc_id"), text.alias("text"))
 
 
 def annotate(docs: DataFrame, key: Column, doc_id: Column, text: Column, max_tokens: int | None = None, graph: bool = True) -> DataFrame:
