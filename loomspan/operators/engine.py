@@ -214,9 +214,10 @@ def run_rule(rule: Rule, s: M.Sentence, trigger_overlap: bool, all_matches: bool
     """Mentions (label, start, end, caps, found_by, kind) of one rule; promoted arguments come before their event."""
     out = []
     if rule.kind == "event":
+        known = {label: {m[:2] for m in s.state.get(label, ())} for label in {a.label for a in rule.pattern.arguments}}
         for a, b, caps, promoted in M.events(rule.pattern, s, trigger_overlap):
             for label, x, y, inner in promoted:
-                if not any(m[0] == x and m[1] == y for m in s.state.get(label, ())):
+                if (x, y) not in known[label]:
                     out.append((label, x, y, inner, rule.name, "basic"))
             out.append((rule.label, a, b, caps, rule.name, "event"))
     else:
